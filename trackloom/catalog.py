@@ -788,7 +788,8 @@ def sample_errors(spark, d):
 @query(RUNS + f", u AS (SELECT agent, t, x, unnest([1, 2, 3])::INT AS sample, unnest([lag(x) OVER w, lag(x, 2) OVER w, lag(x, 3) OVER w]) AS v FROM r WINDOW w AS (PARTITION BY agent, session ORDER BY t)), k AS (SELECT *, abs(v - x) AS e, row_number() OVER (PARTITION BY agent, t ORDER BY abs(v - x), sample) AS k FROM u WHERE v IS NOT NULL) SELECT agent, t, {d6('v')} AS v, {d6('e')} AS error FROM k WHERE k = 1")
 def closest_sample(spark, d):
     w = Window.partitionBy("agent", "session").orderBy("t")
-    rows = _rows(spark, d).select("agent", "t", "x", F.posexplode(F.array(*[F.lag("x", n).over(w) for n in (1, 2, 3)])).alias("sample", "v")).where("v is not null")
+    wide = _rows(spark, d).select("agent", "t", "x", F.array(*[F.lag("x", n).over(w) for n in (1, 2, 3)]).alias("v"))
+    rows = wide.select("agent", "t", "x", F.posexplode("v").alias("sample", "v")).where("v is not null")
     out = evaluation.closest_sample(rows, ["agent", "t"], "sample", F.abs(F.col("v") - F.col("x")), "v")
     return out.select("agent", "t", r6("v").alias("v"), r6("error").alias("error"))
 

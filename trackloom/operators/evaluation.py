@@ -52,8 +52,9 @@ def combine_errors(parts: DataFrame, measures: list[str], by: list[str] = ()) ->
 def baselines(df: DataFrame, label: str, keys: list[str], t: str, taus: list[int]) -> DataFrame:
     """(tau, n, zero, constant): mean absolute error of predicting 0, and of the label tau frames earlier."""
     w = Window.partitionBy(*keys).orderBy(t)
-    rows = F.array(*[F.struct(F.lit(n).alias("tau"), ahead(label, -n, w, t).alias("b")) for n in taus])
-    long = df.select(F.col(label).alias("a"), F.explode(rows).alias("r")).where("r.b is not null and a is not null")
+    wide = df.select(F.col(label).alias("a"), *[ahead(label, -n, w, t).alias(f"b{n}") for n in taus])
+    rows = F.array(*[F.struct(F.lit(n).alias("tau"), F.col(f"b{n}").alias("b")) for n in taus])
+    long = wide.select("a", F.explode(rows).alias("r")).where("r.b is not null and a is not null")
     return long.groupBy(F.col("r.tau").alias("tau")).agg(F.count("*").alias("n"), F.avg(F.abs("a")).alias("zero"), F.avg(F.abs(F.col("a") - F.col("r.b"))).alias("constant"))
 
 
