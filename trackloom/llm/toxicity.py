@@ -96,8 +96,8 @@ def _pool(margin: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return top + np.log(total), e / total[doc]
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, dims: int = 8, epochs: int = 4, seed: int = 7, init: float = 0.02, rate: float = 0.3) -> ToxicityModel:
-    """Adagrad on the log loss of the documents, over embeddings and softmax at once."""
+def train(texts: list[str], labels: np.ndarray, prior: float, dims: int = 8, updates: int = 600, seed: int = 7, init: float = 0.02, rate: float = 0.3) -> ToxicityModel:
+    """Adagrad on the log loss of the documents, over embeddings and softmax at once; ``updates`` of 32 documents at least."""
     labels = np.asarray(labels, float)
     if not len(texts) or labels.min() == labels.max():
         return ToxicityModel(prior)
@@ -128,7 +128,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dims: int = 8, epo
     table = rng.normal(0, init, (1 << BUCKET_BITS, dims)).astype(np.float32)
     u, b = rng.normal(0, 1.0, dims), np.full(1, -3.0)
     seen, seen_u, seen_b = np.full((1 << BUCKET_BITS, dims), 1e-6, np.float32), np.full(dims, 1e-6), np.full(1, 1e-6)
-    for epoch in range(epochs):
+    for epoch in range(-(-updates // -(-len(texts) // 32))):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), 32):
             docs = order[lo : lo + 32]
