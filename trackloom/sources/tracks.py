@@ -67,7 +67,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for raw in b["content"]:
                 a = np.load(io.BytesIO(bytes(raw)), allow_pickle=False)
                 ids, x = a["ids"].astype(int), a["X"]
-                ids = np.where(ids >= 0, ids - max(0, ids[ids >= 0].min(initial=0)), -1)
+                known = ids >= 0
+                ids = np.where(known, ids - (ids[known].min() if known.any() else 0), -1)
                 video, frames = a["videoidx"].ravel(), a["frames"].ravel()
                 names = [str(c) for c in a["categories"]] if "categories" in a else []
                 for slot in range(ids.shape[1]):
