@@ -157,7 +157,7 @@ def test_runs_equal_sequential_best_fit():
 
 def test_packing_fills_without_gaps(spark):
     rng = random.Random(5)
-    rows = [(i, " ".join(f"word{rng.randrange(50)}" for _ in range(rng.randrange(0, 700))), "s") for i in range(120)] + odd_rows()
+    rows = [(i + 100, " ".join(f"word{rng.randrange(50)}" for _ in range(rng.randrange(0, 700))), "s") for i in range(120)] + odd_rows()
     pieces = packing.token_pieces(docs_of(spark, rows), TOKENS, keep_ids=True, max_tokens=512).cache()
     packed = packing.pack(pieces, max_tokens=512)
     out = packed.collect()
