@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
-from trackloom.operators import agents, augment, binning, evaluation, filters, motion, pose, sequences, stats
+from trackloom.operators import agents, augment, binning, evaluation, filters, motion, pose, projections, sequences, stats
 from trackloom.plans import dataset
 from trackloom.plans.stages import FeatureFrame, OddRoot, ZScore, replay
 from trackloom.sources import tracks
@@ -832,6 +832,38 @@ def missing_iff_invalid(spark, d):
     return evaluation.missing_iff_invalid(_track(spark, d), F.col("isdata"), ["x"])
 
 
+# ---- column shapes
+
+_MELT = PLANAR + ", q AS (SELECT agent, t, unnest(['fwd', 'fwd', 'fwd', 'side', 'side', 'side']) AS feature, unnest([1, 2, 5, 1, 2, 5])::INT AS tau, unnest([fwd_1, fwd_2, fwd_5, side_1, side_2, side_5]) AS value FROM moved)"
+
+
+@query(_MELT + f" SELECT agent, t, feature, tau, {d6('value')} AS value FROM q")
+def melt_lookaheads(spark, d):
+    moved = motion.global_velocity(_planar(spark, d), "px", "py", "theta", ["agent"], "t", TAUS)
+    return projections.melt_lookaheads(moved, ["agent", "t"], ["fwd", "side"], TAUS).withColumn("value", r6("value"))
+
+
+@query(PLANAR + f" SELECT agent, t, {', '.join(f'{d6(p)} AS {p}' for p in _PARTS if 'turn' not in p)} FROM moved")
+def spread_lookaheads(spark, d):
+    """Melted and spread again: the columns as they were."""
+    moved = motion.global_velocity(_planar(spark, d), "px", "py", "theta", ["agent"], "t", TAUS)
+    back = projections.spread_lookaheads(projections.melt_lookaheads(moved, ["agent", "t"], ["fwd", "side"], TAUS), ["agent", "t"], ["fwd", "side"], TAUS)
+    return back.select("agent", "t", *[r6(p).alias(p) for p in _PARTS if "turn" not in p])
+
+
+@query("WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM (SELECT DISTINCT c_custkey FROM customer)) SELECT o_orderkey, coalesce(idx, -1)::INT AS idx FROM orders LEFT JOIN k ON o_custkey = c_custkey")
+def dimension_index(spark, d):
+    orders, customers = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
+    return projections.index_in(orders.select("o_orderkey", "o_custkey"), "o_custkey", customers, "c_custkey").select("o_orderkey", F.col("idx").cast("int").alias("idx"))
+
+
+@query()
+def similarity_sigma(spark, d):
+    """Each frame against the frame before, by keypoint, in units of the hull's area."""
+    kp = _kp(spark, d)
+    return projections.similarity_sigma(kp, kp.withColumn("t", F.col("t") + 1), ["agent", "t"])
+
+
 # ---- masks and datasets
 
 
