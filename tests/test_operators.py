@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
-from trackloom.operators import agents, augment, binning, evaluation, filters, motion, pose, sequences, stats
+from trackloom.operators import agents, augment, binning, evaluation, filters, motion, pose, projections, sequences, stats
 from trackloom.plans import dataset
 from trackloom.plans.stages import Discretize, FeatureFrame, Fusion, Identity, OddRoot, Roll, Stage, Steps, ZScore, replay
 from trackloom.sources import tracks
@@ -290,3 +290,22 @@ def test_training_data_parameters_are_reused(spark):
     again, used = dataset.build_dataset(rows.where("agent = 2"), "x", F.col("x").isNotNull(), 8, fitted=frame)
     assert chunks.count() == 2 * 4 and again.count() == 4 and used.to_json() == frame.to_json()
     assert dataset.map_chunks(chunks, lambda b: b[["agent"]].assign(n=b["rows"].map(len)), "agent long, n long").agg(F.min("n")).first()[0] == 8
+
+
+def test_blocks_and_areas(spark):
+    a = spark.createDataFrame([(1, 2.0)], "k int, x double")
+    joined = projections.blocks_together(["k"], {"in": a, "out": a.withColumn("x", F.lit(3.0))})
+    assert joined.columns == ["k", "in_x", "out_x"] and projections.block(joined, ["k"], "out").first().x == 3
+    marked = projections.mark_discrete(joined, "in_x", "x")
+    assert [d.columns for d in projections.split_discrete(marked, ["k"])] == [["k", "in_x"], ["k", "out_x"]]
+    square = kp_rows(spark, [(0, 0), (2, 0), (2, 2), (0, 2), (1, 1)])
+    assert projections.hull_area(square).first().area == 4
+    assert projections.map_arrays(spark.range(1).select(F.array(F.lit(1), F.lit(2)).alias("v")), ["v"], lambda x: x * 2).first().v == [2, 4]
+
+
+def test_holdout_and_subsample(spark):
+    seqs = spark.range(200).select("id", (F.col("id") % 3).alias("w"))
+    held = stats.weighted_holdout(seqs, "id", "w", 20).where("held_out").collect()
+    assert len(held) == 20 and all(r.w > 0 for r in held)
+    chosen = sequences.subsample_sequences(seqs.withColumn("n", F.lit(10)), "id", "n", 95).collect()
+    assert len(chosen) == 10
