@@ -39,7 +39,9 @@ CHUNK_DOCS, RANGE_CHUNKS = 1024, 4
 COUNT_BITS = 40
 #: The open pairs are checked in full once they are at most so many times the postings; before that, pivots go first.
 OPEN_FACTOR = 3
-MAX_PIVOT_ROUNDS = 8
+MAX_PIVOT_ROUNDS = 2
+#: The columns of a posting beside its shingle.
+MEMBER = ("digest", "label", "n", "shared", "idx")
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +124,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(chunked: DataFrame, frequencies: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row per document: k (key as text), digest of its word sequence, n, and, for the first document of each digest in
-    its chunk that has any, the prefix shingles that other documents have (posts: gram, pos) and its whole set (grams)."""
+    """One row per document: k (key as text), digest of its word sequence, n, shared (shingles that others have), and, for the first document of each digest in
+    its chunk that has any, the prefix shingles that other documents have (posts, in order) and its whole set (grams)."""
 
     def meet(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         texts = docs["t"].fillna("").tolist()
@@ -144,18 +146,18 @@ def _prefixes(chunked: DataFrame, frequencies: DataFrame, words: int, percent: i
             n = int(b - a)
             digest = hashlib.blake2b(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest()
             posts = grams = None
+            shared = int((df[a:b] > 1).sum())
             if n and digest not in seen:
                 seen.add(digest)
                 p = prefix_length(n, percent)
-                if int((df[a:b] == 1).sum()) < p:
+                if n - shared < p:
                     rare = np.lexsort((h[a:b], df[a:b]))[:p]
-                    keep = np.flatnonzero(df[a:b][rare] > 1)
-                    posts = [{"gram": int(g), "pos": int(q)} for g, q in zip(h[a:b][rare[keep]].view(np.int64), keep)]
+                    posts = h[a:b][rare[df[a:b][rare] > 1]].view(np.int64)
                     grams = h[a:b].view(np.int64)
-            rows.append((docs["k"].iloc[i], digest, n, posts, grams))
-        return pd.DataFrame(rows, columns=["k", "digest", "n", "posts", "grams"])
+            rows.append((docs["k"].iloc[i], digest, n, shared, posts, grams))
+        return pd.DataFrame(rows, columns=["k", "digest", "n", "shared", "posts", "grams"])
 
-    return chunked.groupBy("c").cogroup(frequencies.groupBy("c")).applyInPandas(meet, "k string, digest binary, n long, posts array<struct<gram: long, pos: int>>, grams array<long>")
+    return chunked.groupBy("c").cogroup(frequencies.groupBy("c")).applyInPandas(meet, "k string, digest binary, n long, shared long, posts array<long>, grams array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,22 +198,26 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _pairs(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, of postings that meet in a bucket, in different components: length and positional filter."""
-    x = one.select("gram", *[F.col(c).alias(f"{c}1") for c in ("digest", "label", "n", "pos")])
-    y = other.select("gram", *[F.col(c).alias(f"{c}2") for c in ("digest", "label", "n", "pos")])
+    """(a, b), a < b, of postings that meet in a bucket, in different components: length and positional filter.
+
+    Were this the first shingle that two sets share, all they share would come from it on, and shingles that no other document
+    has cannot be among it. A pair that can be similar passes at its first one.
+    """
+    x = one.select("gram", *[F.col(c).alias(f"{c}1") for c in MEMBER])
+    y = other.select("gram", *[F.col(c).alias(f"{c}2") for c in MEMBER])
     met = x.join(y, "gram").where("label1 <> label2").where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+    met = met.where(f"{100 + percent} * least(shared1 - idx1, shared2 - idx2) >= {percent} * (n1 + n2)")
     swap = F.col("digest1") > F.col("digest2")
-    met = met.select(F.when(swap, F.col("digest2")).otherwise(F.col("digest1")).alias("a"), F.when(swap, F.col("digest1")).otherwise(F.col("digest2")).alias("b"), (F.col("n1") + F.col("n2")).alias("n"), (F.col("n1") - F.col("pos1")).alias("r1"), (F.col("n2") - F.col("pos2")).alias("r2"))
-    # at the first common shingle, all that is shared comes from it and what follows
-    first = met.groupBy("a", "b").agg(F.max("n").alias("n"), F.max(F.least("r1", "r2")).alias("rest"))
-    return first.where(f"{100 + percent} * rest >= {percent} * n").select("a", "b")
+    met = met.select(F.when(swap, F.col("digest2")).otherwise(F.col("digest1")).alias("a"), F.when(swap, F.col("digest1")).otherwise(F.col("digest2")).alias("b"))
+    return met.distinct()
 
 
 def _classes(rows: DataFrame, percent: int) -> DataFrame | None:
     """(node, label) of the digests with links, from the postings and sets of ``rows``; None if there are none."""
     candidates = rows.where(F.size("posts") > 0)
-    sets = materialize(candidates.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("posts").alias("posts"), F.any_value("grams").alias("grams")), "sets")
-    posts = sets.select("digest", "n", F.explode("posts").alias("p")).select("digest", "n", F.col("p.gram").alias("gram"), F.col("p.pos").alias("pos"))
+    sets = materialize(candidates.groupBy("digest").agg(F.any_value("n").alias("n"), F.max("shared").alias("shared"), F.any_value("posts").alias("posts"), F.any_value("grams").alias("grams")), "sets")
+    # idx counts among the shingles that others have: in rare-first order those that none has come before them
+    posts = sets.select("digest", "n", "shared", F.posexplode("posts").alias("idx", "gram"))
     # a shingle that copies of one text alone share meets nothing
     common = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     posts = materialize(posts.join(common, "gram"), "posts")
@@ -219,20 +225,20 @@ def _classes(rows: DataFrame, percent: int) -> DataFrame | None:
     if not n_posts:
         return None
     links, seen, labels = None, None, None
+    now = posts.withColumn("label", F.col("digest"))
     for round_ in range(MAX_PIVOT_ROUNDS + 1):
-        if labels is None:
-            now = posts.withColumn("label", F.col("digest"))
-        else:
-            now = posts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-        cells = now.groupBy("gram", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("digest", F.lit(round_)).alias("h"), "digest", "label", "n", "pos")).alias("pivot"))
+        # first the text that the others come from: the one with the least share of shingles that no other document has
+        central = (F.lit(0.0) if round_ else 1 - F.col("shared") / F.col("n")).alias("c")
+        cells = now.groupBy("gram", "label").agg(F.count("*").alias("m"), F.min(F.struct(central, F.xxhash64("digest", F.lit(round_)).alias("h"), "digest", "label", "n", "shared", "idx")).alias("pivot"))
         buckets = cells.groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.min("pivot").alias("pivot")).where("m * m > mm")
         buckets = materialize(buckets, "buckets")
         open_ = buckets.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0]
         if not open_:
             break
-        left = now.join(buckets.select("gram"), "gram")
+        # a bucket of one component stays one: only open ones go on
+        left = materialize(now.join(buckets.select("gram"), "gram").select("gram", *MEMBER), "open")
         last = open_ <= OPEN_FACTOR * n_posts or round_ == MAX_PIVOT_ROUNDS
-        other = left if last else buckets.select("gram", F.col("pivot.digest").alias("digest"), F.col("pivot.label").alias("label"), F.col("pivot.n").alias("n"), F.col("pivot.pos").alias("pos"))
+        other = left if last else buckets.select("gram", *[F.col(f"pivot.{c}").alias(c) for c in MEMBER])
         pairs = _pairs(left, other, percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -243,6 +249,7 @@ def _classes(rows: DataFrame, percent: int) -> DataFrame | None:
         labels = connected(links)
         if last:
             break
+        now = left.drop("label").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     return labels
 
 
@@ -254,7 +261,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     chunked = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(key, text), F.lit(n_chunks)).alias("c"))
     frequencies = _frequencies(chunked, words, max(1, n_chunks // RANGE_CHUNKS))
     rows = materialize(_prefixes(chunked, frequencies, words, percent), "prefixes")
-    labels = _classes(rows.select("digest", "n", "posts", "grams"), percent)
+    labels = _classes(rows.select("digest", "n", "shared", "posts", "grams"), percent)
     each = rows.select(F.col("k").cast(kind).alias("k"), "digest", F.col("n").alias("n_shingles"))
     if labels is not None:
         each = each.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("digest", F.coalesce("label", "digest")).drop("label")
