@@ -15,6 +15,7 @@ an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ from .common import materialize
 
 MAX_TOKENS = 4096
 END_ID = 1
-#: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 200_000
+#: Words in each of the two generations whose ids a Python worker remembers: some 100 MB each.
+CACHE_WORDS = 400_000
 _STATE: dict = {}
 
 
@@ -39,18 +40,24 @@ def _encode(texts: list[str], tokenizer_path: str) -> Iterator[bytes]:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if _STATE.get("path") != tokenizer_path:
-        _STATE.update(path=tokenizer_path, tokenizer=Tokenizer.from_file(tokenizer_path), ids={})
-    tokenizer, ids = _STATE["tokenizer"], _STATE["ids"]
+        _STATE.update(path=tokenizer_path, tokenizer=Tokenizer.from_file(tokenizer_path), ids={}, old={})
+    tokenizer = _STATE["tokenizer"]
     for lo in range(0, len(texts), 256):
         split = [t.replace("\n", " ").split(" ") for t in texts[lo : lo + 256]]
-        new = list({w for words in split for w in words} - ids.keys())
-        if len(ids) + len(new) > CACHE_WORDS:
-            ids.clear()
-            new = list({w for words in split for w in words})
+        if len(_STATE["ids"]) > CACHE_WORDS:
+            # words that come again are taken over from the old generation, the others go with the next change
+            _STATE.update(ids={}, old=_STATE["ids"])
+        ids, old = _STATE["ids"], _STATE["old"]
+        new = []
+        for w in set().union(*split) - ids.keys():
+            if (known := old.get(w)) is None:
+                new.append(w)
+            else:
+                ids[w] = known
         for at in range(0, len(new), 8192):
             part = new[at : at + 8192]
             for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids[w] = np.array(e.ids, "<u4").tobytes()
+                ids[w] = struct.pack(f"<{len(e)}I", *e.ids)
         for words in split:
             yield b"".join(map(ids.__getitem__, words))
 
@@ -126,6 +133,8 @@ def pack(pieces: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -
     """``pieces`` (key, piece, length, ...) with sequence_id and offset: best-fit decreasing over all pieces."""
     spark = pieces.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the range sort reads its input twice, once to sample the bounds: the texts are tokenised before that, once
+    pieces = materialize(pieces, "tokenized")
     # the key and piece break ties, so that one common length is still dealt to many partitions; written once, since the
     # bounds of a range sort are sampled
     spread = F.xxhash64(F.col(key), F.col("piece"), F.monotonically_increasing_id())
