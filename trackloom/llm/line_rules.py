@@ -77,7 +77,7 @@ def text_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
     raw = docs.select(F.col(host).alias("_host"), F.xxhash64(text).alias("_key"), F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
     words = F.regexp_count("_line", F.lit(WORD)).cast("long")
     # a document hashed to a key may have copies; of equal lines the copies are told apart by their count
-    return raw.select("_host", "_key", F.md5(normal_line(F.col("_line"))).alias("_line"), words.alias("_words")).where("_words > 0")
+    return raw.select("_host", "_key", F.xxhash64(normal_line(F.col("_line"))).alias("_line"), words.alias("_words")).where("_words > 0")
 
 
 def line_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
@@ -111,9 +111,9 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
 
 
 def strip_frequent_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """(key, host, text) without the lines in ``frequent`` (host, line digest): the texts that remain after the line rule."""
+    """(key, host, text) without the lines in ``frequent`` (host, line hash): the texts that remain after the line rule."""
     lines = docs.select(F.col(key).alias("_id"), F.col(host).alias("_host"), F.xxhash64(text).alias("_key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_at", "_raw"))
-    lines = lines.withColumn("_line", F.md5(normal_line(F.col("_raw"))))
+    lines = lines.withColumn("_line", F.xxhash64(normal_line(F.col("_raw"))))
     marked = lines.alias("l").join(frequent.alias("f"), F.col("l._host").eqNullSafe(F.col("f._host")) & (F.col("l._line") == F.col("f._line")), "left_anti")
     rows = F.sort_array(F.collect_set(F.struct("_at", "_raw")))
     whole = marked.groupBy("_id", "_host", "_key").agg(F.array_join(F.transform(rows, lambda r: r["_raw"]), "\n").alias("_text"))
