@@ -123,6 +123,39 @@ def test_crf_adds_what_patterns_miss_and_leaves_clean_text(crf):
     assert pii_crf.find_spans(["At the mill, 12 of 300 were here at 10:30.", ""], crf) == [([], []), ([], [])]
 
 
+NEIGHBOURS = [
+    ("call 689-555-4072, 689-555-4073 now", ["689-555-4072", "689-555-4073"]),
+    ("call (689) 555-4072 (689) 555-4073 (212) 555-1234 now", ["(689) 555-4072", "(689) 555-4073", "(212) 555-1234"]),
+    ("tel 0012 345 678901, 0034 567 890123", ["0012 345 678901", "0034 567 890123"]),
+    ("call 689-555-4072,689-555-4073 now", ["689-555-4072", "689-555-4073"]),
+    ("card 4111 1111 1111 1111 5500 0055 5555 5559 here", ["4111 1111 1111 1111", "5500 0055 5555 5559"]),
+    ("visa 4111.1111.1111.1111 5500.0055.5555.5559 here", ["4111.1111.1111.1111", "5500.0055.5555.5559"]),
+    ("mail jane at mail dot com, tom at web dot org now", ["jane at mail dot com", "tom at web dot org"]),
+    ("write to jane at mail dot example dot com tom@web.org now", ["jane at mail dot example dot com", "tom@web.org"]),
+    ("write to tom@web.org jane at mail dot example dot com now", ["tom@web.org", "jane at mail dot example dot com"]),
+]
+
+
+@pytest.mark.parametrize("text, want", NEIGHBOURS)
+def test_neighbours_of_one_kind_are_all_found(crf, text, want):
+    ((base, every),) = pii_crf.find_spans([text], crf)
+    assert [text[s:e] for s, _, e in every] == want and set(base) <= set(every)
+    assert not any(w in pii_crf.redact(text, every) for w in want)
+
+
+def test_runs_that_are_no_list_give_no_spans(crf):
+    clean = ["on 2021-04-03, 2021-04-04, 2021-04-05 here", "in 1998 2021 4050 3333 2222 1111 4040 3030 of", "12, 34, 56, 7890 and 1998, 1999, 2000, 2001, 2002"]
+    assert pii_crf.find_spans(clean, crf) == [([], [])] * 3
+
+
+def test_the_labelled_table_has_neighbours():
+    def kinds(row):
+        return [k for k in (y for _, y in row) if k]
+
+    rows = pii_crf.labelled_table(300)
+    assert sum(len(kinds(r)) > 8 and len(set(kinds(r))) == 1 for r in rows) > 10
+
+
 def test_pruned_viterbi_equals_the_full_one(crf):
     texts = [" ".join(w for w, _ in row) for row in pii_crf.labelled_table(80, seed=3)]
     c, y = crf.labels(texts)

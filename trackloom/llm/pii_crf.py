@@ -4,7 +4,8 @@ The patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and inte
 word with a kind or none: from the shape of the word, of its neighbours and from cue words, with weights learned in numpy from
 the small labelled table below (sentences written out by rule, their fillers drawn from a fixed seed). It adds addresses that
 are spelt out ("jane at mail dot example dot com"), phone numbers without a plus, numbers of cards and addresses with other
-separators. Viterbi runs over all lines of a batch at once. Added spans never touch pattern spans, which always stay.
+separators. Viterbi runs over all lines of a batch at once. Neighbours of one kind have one label: a run of words that holds
+several entities is split into them. Added spans are clipped to what lies outside pattern spans, which always stay.
 
 Defined results: a null or empty text has no spans; repeated rows are searched each for itself; an empty table gives an empty
 result; other columns are ignored or passed through, whatever their names.
@@ -33,6 +34,11 @@ _DIGIT = re.compile("[0-9]")
 #: Words around which personal data stands; each is a feature of its own.
 CUES = ("at", "dot", "email", "mail", "e-mail", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "address", "contact", "com", "org", "net", "edu")
 _TRIM = "()[]{}<>\"'.,;:!?¿¡«»…"
+_OPENING = _TRIM.replace("(", "")
+#: Within a run of words of one kind: what entities are made of, the sign that each address has once, and where a list goes on.
+_PIECE = re.compile(r"[^\s,;/|]+")
+_AT = re.compile(r"@|(?<![^\W_])at(?![^\W_])", re.I)
+_BREAK = re.compile(r"[,;/|]|\+")
 
 
 def _luhn(digits: str) -> bool:
@@ -265,6 +271,17 @@ def labelled_table(rows: int = 1500, seed: int = 5) -> list[list[tuple[str, int]
                 words[-1] += pick((".", ","))
             row += [(w, k + 1) for w in words] + fill(1, 9)
         table.append(row)
+    # lists: two to five entities with nothing between them but a mark, most of one kind; the rows above do not depend on them
+    for _ in range(rows // 5):
+        row, k = fill(0, 7), int(rng.integers(4))
+        mark = pick(("", "", ",", ",", ";", " /", " or"))
+        for j in range(int(rng.integers(2, 6))):
+            if j and mark:
+                row = [*row, (mark.strip(), 0)] if mark[0] == " " else [*row[:-1], (row[-1][0] + mark, row[-1][1])]
+            if j and rng.random() < 0.2:
+                k = int(rng.integers(4))
+            row += [(w, k + 1) for w in makers[k]()]
+        table.append(row + fill(0, 7))
     return table
 
 
@@ -331,6 +348,85 @@ def _plausible(kind: int, text: str) -> bool:
     return 10 <= n <= 15 and len(re.findall("[^0-9]+", text.strip("+"))) >= 1
 
 
+def _trimmed(text: str, kind: int, s: int, e: int) -> tuple[int, int]:
+    while s < e and (text[s] in (_OPENING if kind == 3 else _TRIM) or text[s].isspace()):
+        s += 1
+    while e > s and (text[e - 1] in _TRIM or text[e - 1].isspace()):
+        e -= 1
+    return s, e
+
+
+def _single(kind: int, text: str) -> bool:
+    """Whether a plausible text is one entity: more than one at sign, or more dots than one address has, are several."""
+    return len(_AT.findall(text)) == 1 if kind == 0 else kind != 1 or text.count(".") == 3
+
+
+def _email_cuts(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """One part for each at sign: it begins at the word that holds the sign, or at the name before it if the sign stands alone."""
+    begins = []
+    for k, (s, e) in enumerate(words):
+        m = _AT.search(text[s:e])
+        if m:
+            begins.append(max(k - (m.start() == 0 or not text[s : s + m.start()].strip(_TRIM)), begins[-1] + 1 if begins else 0))
+    return [(words[b][0], words[nxt - 1][1]) for b, nxt in zip(begins, [*begins[1:], len(words)]) if nxt > b]
+
+
+def _number_cuts(kind: int, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts that leave the fewest words with digits out, then cross the fewest list marks and pluses, then are the fewest.
+
+    A part has at most 19 digits and so at most 19 words: linear in the length of the run.
+    """
+    words = [(s, e, len(_digits(text[s:e]))) for s, e in words if _DIGIT.search(text[s:e])]
+    best: list[tuple[tuple[int, int, int], int, tuple[int, int] | None]] = [((0, 0, 0), 0, None)]
+    for j in range(1, len(words) + 1):
+        left_out, crossed, parts = best[j - 1][0]
+        now = ((left_out + 1, crossed, parts), j - 1, None)
+        digits = 0
+        for i in range(j - 1, -1, -1):
+            digits += words[i][2]
+            if digits > 19:
+                break
+            s, e = _trimmed(text, kind, words[i][0], words[j - 1][1])
+            if s < e and _plausible(kind, text[s:e]) and _single(kind, text[s:e]):
+                left_out, crossed, parts = best[i][0]
+                cost = (left_out, crossed + len(_BREAK.findall(text, s + 1, e)), parts + 1)
+                if cost < now[0]:
+                    now = (cost, i, (s, e))
+        best.append(now)
+    out, j = [], len(words)
+    while j:
+        _, i, part = best[j]
+        out += [part] if part else []
+        j = i
+    return out[::-1]
+
+
+def _entities(kind: int, text: str, s: int, e: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The entities of a run of words of one kind: what lies outside the pattern spans, each piece split where it holds several.
+
+    One word with several numbers in it has more digits than any phone has, so the field takes it for a card: it may be phones.
+    """
+    out, at = [], s
+    for p, _, q in [*sorted(b for b in base if b[0] < e and b[2] > s), (e, 0, e)]:
+        a, b = _trimmed(text, kind, at, max(at, p))
+        at = max(at, q)
+        if a >= b:
+            continue
+        if _plausible(kind, text[a:b]) and _single(kind, text[a:b]):
+            out.append((a, kind, b))
+            continue
+        words = [(a + m.start(), a + m.end()) for m in _PIECE.finditer(text[a:b])]
+        one_word = not re.search(r"\s", text[a:b])
+        for k in (kind, 3) if kind == 2 and one_word else (kind,):
+            parts = [_trimmed(text, k, *x) for x in (_email_cuts(text, words) if k == 0 else _number_cuts(k, text, words))]
+            parts = [(p, k, q) for p, q in parts if p < q and _plausible(k, text[p:q])]
+            if parts:
+                break
+        # what is plausible as a whole stays one span if no part is
+        out += parts or ([(a, kind, b)] if _plausible(kind, text[a:b]) else [])
+    return out
+
+
 def find_spans(texts: list[str], model: CrfModel) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """Pattern spans and all spans of each text, as (start, kind number, end) by start and then kind."""
     out = []
@@ -347,13 +443,8 @@ def find_spans(texts: list[str], model: CrfModel) -> list[tuple[list[tuple[int,
             for a, b in zip(begin, np.append(begin[1:], len(hit))):
                 doc = int(c.doc[hit[a]])
                 s, e = int(c.start[hit[a]] - c.doc_at[doc]), int(c.end[hit[b - 1]] - c.doc_at[doc])
-                text, kind = part[doc], int(y[hit[a]]) - 1
-                while s < e and text[s] in _TRIM.replace("(", "" if kind == 3 else "("):
-                    s += 1
-                while e > s and text[e - 1] in _TRIM:
-                    e -= 1
-                if s < e and _plausible(kind, text[s:e]) and all(e <= p or s >= q for p, _, q in base[doc]):
-                    every[doc].append((s, kind, e))
+                kind = int(y[hit[a]]) - 1
+                every[doc] += _entities(kind, part[doc], s, e, base[doc])
         out += [(b, sorted(x)) for b, x in zip(base, every)]
     return out
 
