@@ -228,3 +228,12 @@ def test_line_rules_against_plain_code(spark):
     for (i, t), w in want.items():
         assert keyed[i, w[0]] == w
     assert line_rules.quality_rules(docs_of(spark, [])).count() == 0
+
+
+def test_a_document_of_mostly_frequent_lines_is_depleted(spark):
+    words = lambda x, n: " ".join(f"{x}w{k}" for k in range(n))
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(30)]  # digits of a line count as 0
+    rows = [(i, words("foot", 60) + "\n" + words(x, 10 if i < 25 else 200), "s") for i, x in enumerate(letters)]
+    out = {r.doc_id: r for r in line_rules.quality_rules(docs_of(spark, rows)).collect()}
+    assert all(r.words_removed == 60 and r.n_words >= line_rules.MIN_WORDS and not r.base_failed for r in out.values())
+    assert [i for i in sorted(out) if out[i].kept] == list(range(25, 30))
