@@ -72,6 +72,21 @@ def test_jaccard_join_odd_inputs(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 5, 7]
 
 
+def test_one_of_each_class_stays_with_null_and_repeated_keys(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = lambda t, i: t.replace("0 ", f"0 {i} ", 1)
+    rows = [(3, a, "s"), (None, near(a, 1), "s"), (None, near(a, 2), "s"), (5, near(a, 3), "s")]  # null keys beside others
+    rows += [(None, b, "s"), (None, near(b, 1), "s"), (None, b.upper(), "s")]  # null keys alone
+    rows += [(3, c, "s"), (2, near(c, 1), "s"), (2, near(c, 1), "s"), (2, near(c, 2), "s")]  # 3 is the least of another class, 2 occurs with two texts
+    rows += [(None, None, "s"), (None, "", "s"), (9, " ", "s"), (9, "", "s")]  # without words: in no class
+    for given in (rows, rows[::-1]):
+        kept = [(r.doc_id, r.text) for r in jaccard_join.drop_near_copies(docs_of(spark, given)).collect()]
+        assert [i for i, t in kept if t and t.startswith("a")] == [3]
+        assert [i for i, t in kept if t and t.lower().startswith("b")] == [None]
+        assert [i for i, t in kept if t and t.startswith("c")] == [2]
+        assert sorted(map(str, ((i, t) for i, t in kept if not (t or "").strip()))) == sorted(map(str, [(None, None), (None, ""), (9, " "), (9, "")]))
+
+
 def test_merkle_against_plain_code(spark):
     rows = [(1, "a b c d e f g h i j\nk l", "s"), (2, "", "s"), (3, None, "s"), (4, "  lead\n\n\ttail ", "s"), (5, "w " * 3000, "s")]
     leaves = lambda t: [hashlib.md5(p.encode()).hexdigest()[:12] for p in re.findall(merkle.PARAGRAPH, t or "")]

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chars import Chars, fold_ascii, mix, slices
@@ -253,18 +253,23 @@ def _classes(rows: DataFrame, percent: int) -> DataFrame | None:
     return labels
 
 
-def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: key, n_shingles and component_id, the least key that it reaches by links (its own included)."""
-    kind = dict(docs.dtypes)[key]
+def _members(docs: DataFrame, text: str, key: str, name: Column, words: int, percent: int) -> DataFrame:
+    """(k, digest, n_shingles) of each row of ``docs``: its ``name``, a string, and its class, the same for all that links reach."""
     n = docs.count()
     n_chunks = max(1, n // CHUNK_DOCS)
-    chunked = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(key, text), F.lit(n_chunks)).alias("c"))
+    chunked = docs.select(name.alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(key, text), F.lit(n_chunks)).alias("c"))
     frequencies = _frequencies(chunked, words, max(1, n_chunks // RANGE_CHUNKS))
     rows = materialize(_prefixes(chunked, frequencies, words, percent), "prefixes")
     labels = _classes(rows.select("digest", "n", "shared", "posts", "grams"), percent)
-    each = rows.select(F.col("k").cast(kind).alias("k"), "digest", F.col("n").alias("n_shingles"))
+    each = rows.select("k", "digest", F.col("n").alias("n_shingles"))
     if labels is not None:
         each = each.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("digest", F.coalesce("label", "digest")).drop("label")
+    return each
+
+
+def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: key, n_shingles and component_id, the least key that it reaches by links (its own included)."""
+    each = _members(docs, text, key, F.col(key).cast("string"), words, percent).withColumn("k", F.col("k").cast(dict(docs.dtypes)[key]))
     least = each.where("n_shingles > 0").groupBy("digest").agg(F.min("k").alias("least"))
     # copies of one text may be a third of all rows: both sides keep their natural order, so that Spark can split the join
     out = each.join(least, "digest", "left")
@@ -272,10 +277,14 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", words
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least key; of repeated rows of it one.
+    """``docs`` with one document of each class: the one with the least key, null after all others; of equal keys the least text hash.
 
-    Texts without words are in no class and stay. Documents with a null key cannot be named: of equal ones one stays.
+    Texts without words are in no class and stay. Of rows with equal key and text one stays.
     """
-    keep = jaccard_join(docs, text, key, words, percent).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_keep")).distinct()
-    chosen = docs.join(keep, F.col(key) == F.col("_keep"), "left_semi")
-    return chosen.unionByName(docs.where(F.col(key).isNull())).dropDuplicates([key, text])
+    # keys may be null or repeated: a row is named by its text's hash and its key
+    name = F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.coalesce(F.concat(F.lit(":"), F.col(key).cast("string")), F.lit("")))
+    each = _members(docs, text, key, name, words, percent)
+    own = F.when(F.length("k") > 16, F.substring("k", 18, 1 << 30)).cast(dict(docs.dtypes)[key])
+    first = each.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(own.isNull().alias("null"), own.alias("key"), "k")).alias("first")).select("first.k")
+    keep = first.unionByName(each.where("n_shingles = 0").select("k")).withColumnRenamed("k", "_keep").distinct()
+    return docs.withColumn("_keep", name).join(keep, "_keep", "left_semi").dropDuplicates(["_keep"]).select(*[F.col(f"`{c}`") for c in docs.columns])
