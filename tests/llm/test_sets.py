@@ -55,12 +55,26 @@ def brute_classes(rows, words, percent):
 
 def test_jaccard_join_against_brute_force(spark, monkeypatch):
     rows = near_copies()
-    for factor in (jaccard_join.OPEN_FACTOR, 0):  # 0: all pivot rounds before the open pairs
+    # 0: all pivot rounds before the open pairs, and buckets dealt by two and three shingles
+    for factor, above in ((jaccard_join.OPEN_FACTOR, jaccard_join.SPLIT_ABOVE), (0, 1)):
         monkeypatch.setattr(jaccard_join, "OPEN_FACTOR", factor)
+        monkeypatch.setattr(jaccard_join, "SPLIT_ABOVE", above)
         out = jaccard_join.jaccard_join(docs_of(spark, rows), words=4, percent=85).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_classes(rows, 4, 85)
 
 
+def test_unlike_texts_around_one_passage(spark, monkeypatch):
+    """Every two documents share a third of their shingles; a few pairs are copies but for a word."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, passage + " " + " ".join(f"o{rng.randrange(60)}" for _ in range(44)), "s") for i in range(90)]
+    rows += [(200 + i, t + " end", "s") for i, t, _ in rows[::9]]
+    monkeypatch.setattr(jaccard_join, "OPEN_FACTOR", 0)
+    monkeypatch.setattr(jaccard_join, "SPLIT_ABOVE", 4)
+    out = jaccard_join.jaccard_join(docs_of(spark, rows), words=2, percent=40).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_classes(rows, 2, 40)
+
+
 def test_jaccard_join_odd_inputs(spark):
     out = jaccard_join.jaccard_join(docs_of(spark, odd_rows())).collect()
     assert len(out) == len(odd_rows())
@@ -153,21 +167,42 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-def test_runs_equal_sequential_best_fit():
+def test_a_sweep_is_best_fit_within_its_range(spark):
     rng = random.Random(4)
-    for _ in range(30):
-        lengths = [rng.choice([rng.randrange(1, 65), 5, 33]) for _ in range(rng.randrange(1, 300))]
-        counts = Counter(lengths)
-        plan = packing.best_fit_runs(counts, 64)
-        load = Counter()
-        for k, (length, rank, first, each, offset) in enumerate(plan):
-            until = plan[k + 1][1] if k + 1 < len(plan) and plan[k + 1][0] == length else counts[length]
-            for r in range(rank, until):
-                at = first + (r - rank) // each
-                assert load[at] == offset + (r - rank) % each * length
-                load[at] += length
-        assert sum(load.values()) == sum(lengths) and max(load.values()) <= 64
-        assert len(load) == best_fit_decreasing(lengths, 64)
+    gaps = [(rng.randrange(1, 65), 1000 + i) for i in range(40)]
+    sizes = sorted((rng.randrange(1, 65) for _ in range(80)), reverse=True)
+    rows = sorted([(0, packing.GAP, -1, n, s) for n, s in gaps] + [(0, packing.PIECE, i, n, -1) for i, n in enumerate(sizes)], key=lambda r: (-r[3], -r[1]))
+    out = packing._sweep(spark.createDataFrame(rows, "home long, kind int, id long, size long, sequence_id long").coalesce(1), 64).collect()
+    left = sorted(g for g, _ in gaps)
+    unplaced = 0
+    for n in sizes:
+        fit = next((g for g in left if g >= n), None)
+        if fit is None:
+            unplaced += 1
+        else:
+            left.remove(fit)
+            left = sorted([*left, fit - n])
+    assert sum(r.kind == packing.PIECE for r in out) == unplaced
+    assert sorted(r.size for r in out if r.kind == packing.GAP) == [g for g in left if g]
+
+
+def test_packing_over_many_ranges(spark):
+    """Ranges of their own, pieces that no gap of their range holds, one length with a third of all rows."""
+    rng = random.Random(9)
+    lengths = [rng.choice([rng.randrange(1, 513), rng.randrange(1, 60), 171]) for _ in range(6000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = spark.createDataFrame([(i % 50, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+        out = packing.pack(pieces, max_tokens=512).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.length for r in out) == sorted(lengths)
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 512
+    assert len(bins) <= 1.005 * best_fit_decreasing(lengths, 512) + 1
 
 
 def test_packing_fills_without_gaps(spark):
@@ -183,10 +218,12 @@ def test_packing_fills_without_gaps(spark):
     for r in out:
         assert r.length == len(r.ids) <= 512 and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         by_doc[r.doc_id].append(r)
-    for i, t, _ in rows:
-        if i != 5:
-            got = [x for r in sorted(by_doc[i], key=lambda r: r.piece) for x in r.ids]
-            assert got == tok.encode(t or "", add_special_tokens=False).ids + [1]
+    copies = Counter((i, t) for i, t, _ in rows)
+    for (i, t), n in copies.items():
+        parts = sorted(by_doc[i], key=lambda r: r.piece)
+        assert len({(r.sequence_id, r.offset) for r in parts}) == len(parts)  # repeated rows each have a place
+        got = [x for r in parts[:: n if len(parts) == n else 1] for x in r.ids]
+        assert got == tok.encode(t or "", add_special_tokens=False).ids + [1]
     bins = defaultdict(list)
     for r in out:
         bins[r.sequence_id].append((r.offset, r.length))
@@ -196,7 +233,7 @@ def test_packing_fills_without_gaps(spark):
             assert offset == at
             at += n
         assert at <= 512
-    assert len(bins) == best_fit_decreasing([r.length for r in out], 512)
+    assert len(bins) <= best_fit_decreasing([r.length for r in out], 512) + 1
     whole = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
     assert all(len(whole[s]) == sum(n for _, n in parts) for s, parts in bins.items())
     assert packing.pack_documents(docs_of(spark, []), TOKENS).count() == 0

@@ -3,17 +3,22 @@
 Rare-first prefix filtering. A document's set is its distinct shingles. In any order that all documents share, two sets with a
 Jaccard similarity of t have a shingle in common among the first n - ceil(t n) + 1 of each; in rare-first order these prefixes
 hold what few documents have. Prefixes are joined on their shingles; pairs must then pass the length filter, the positional
-filter at their first common shingle and the suffix filter (how many shingles each has in parts of the hash range), and are
-verified once over their whole sets.
+filter at their first common shingle and the suffix filter (how many shingles each has in parts of the hash range), all from
+what the postings carry, and are verified once over their whole sets.
 
-Frequencies are exact up to hashing and counted over all documents. So that half a thousand shingles a document do not cross
-the network one by one, chunks of documents send their sorted shingles in packed blocks by hash range; a range counts what its
-blocks hold and answers each chunk with the shingles that more than one document has. All other shingles cannot link anything
-and stay where they are.
+Texts never cross the network. Tasks cut their rows into chunks and send each chunk's (shingle, document) pairs in packed
+blocks by hash range; a range counts in how many documents each of its shingles is and answers each chunk with those that more
+than one document has. All other shingles cannot link anything and go no further. Documents are named by chunk and place, so
+``docs`` must come in the same order when a task is run again, as a scan does.
 
 Groups of near copies are not expanded into all their pairs. Rounds link the members of each prefix bucket to one pivot, linked
 documents become one component, and pairs within a component need no check. Once the pairs that are still open are no more
-than a few for each posting, they are all checked, so no link between different components is lost.
+than a few for each posting, they are all checked. Buckets that stay large after the pivot rounds hold unlike texts around one
+passage: since similar sets that first meet there also share a second shingle of a prefix that is longer by one, the bucket's
+postings are dealt anew by both shingles, then by three. No link between different components is lost.
+
+Frequencies and sets go by 48 bits of each shingle's hash: two sets of n shingles share one by mere chance with a probability
+of n * n / 2**48.
 
 Defined results: a text without words, or null, has an empty set, no links and itself as component; fewer words than a shingle
 are one shingle; equal word sequences are one class; a null key never names a component that has other keys; repeated rows come
@@ -27,21 +32,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chars import Chars, fold_ascii, mix, slices
-from .common import materialize
+from .common import discard, materialize
 
-#: Documents in a chunk, and chunks to a hash range.
-CHUNK_DOCS, RANGE_CHUNKS = 1024, 4
-#: Bits of a shingle's hash that frequencies are counted by.
-COUNT_BITS = 40
+#: Characters of a chunk (one text at least), and bytes of text to a hash range.
+CHUNK_CHARS, RANGE_BYTES = 1 << 22, 1 << 23
+HASH_BITS = 48
+#: Parts of the hash range that the suffix filter compares.
+PARTS = 16
 #: The open pairs are checked in full once they are at most so many times the postings; before that, pivots go first.
 OPEN_FACTOR = 3
 MAX_PIVOT_ROUNDS = 2
+#: Larger buckets that pivots leave open are dealt by further shingles, at most so many.
+SPLIT_ABOVE, FURTHER_SHINGLES = 64, 2
 #: The columns of a posting beside its shingle.
-MEMBER = ("digest", "label", "n", "shared", "idx")
+MEMBER = ("digest", "label", "n", "shared", "parts", "idx")
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,36 +95,18 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def _ranges(values: np.ndarray, n: int) -> np.ndarray:
-    """The hash range of each counted value, ascending with it."""
-    return ((values >> np.uint64(COUNT_BITS - 20)) * np.uint64(n) >> np.uint64(20)).astype(np.int64)
+    """The hash range of each value, ascending with it."""
+    return ((values >> np.uint64(HASH_BITS - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
-def _frequencies(chunked: DataFrame, words: int, n_ranges: int) -> DataFrame:
-    """(chunk, values, times): for every chunk, packed, the shingles that more than one document of the corpus has."""
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest()
 
-    def send(group: pd.DataFrame) -> pd.DataFrame:
-        _, h = shingle_sets(group["t"].fillna("").tolist(), words)
-        values, times = np.unique(h >> np.uint64(64 - COUNT_BITS), return_counts=True)
-        at = _ranges(values, n_ranges)
-        cuts = np.flatnonzero(np.diff(at, prepend=-1))
-        rows = [(int(at[a]), int(group["c"].iloc[0]), _packed(values[a:b]), times[a:b].astype("<u2" if times.max() < 65536 else "<u4").tobytes(), int(b - a)) for a, b in zip(cuts, np.append(cuts[1:], len(values)))]
-        return pd.DataFrame(rows, columns=["r", "c", "v", "n", "k"])
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        values = [_unpacked(v) for v in group["v"]]
-        times = [np.frombuffer(n, f"<u{len(n) // k}").astype(np.int64) for n, k in zip(group["n"], group["k"])]
-        chunk = np.repeat(group["c"].to_numpy(np.int64), group["k"].to_numpy(np.int64))
-        flat = np.concatenate(values)
-        kinds, back = np.unique(flat, return_inverse=True)
-        df = np.bincount(back, np.concatenate(times)).astype(np.int64)[back]
-        shared = np.flatnonzero(df > 1)
-        order = shared[np.lexsort((flat[shared], chunk[shared]))]
-        cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
-        rows = [(int(chunk[order[a]]), _packed(flat[order[a:b]]), df[order[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(order)))]
-        return pd.DataFrame(rows, columns=["c", "v", "n"])
-
-    sent = chunked.select("c", "t").groupBy("c").applyInPandas(send, "r long, c long, v binary, n binary, k long")
-    return sent.groupBy("r").applyInPandas(answer, "c long, v binary, n binary")
+def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of each run of equal numbers."""
+    cuts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    return zip(cuts.tolist(), np.append(cuts[1:], len(sorted_)).tolist())
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -123,63 +114,96 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(chunked: DataFrame, frequencies: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row per document: k (key as text), digest of its word sequence, n, shared (shingles that others have), and, for the first document of each digest in
-    its chunk that has any, the prefix shingles that other documents have (posts, in order) and its whole set (grams)."""
-
-    def meet(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        texts = docs["t"].fillna("").tolist()
-        values = np.concatenate([_unpacked(v) for v in known["v"]]) if len(known) else np.zeros(0, np.uint64)
-        times = np.concatenate([np.frombuffer(n, "<u4") for n in known["n"]]).astype(np.int64) if len(known) else np.zeros(0, np.int64)
-        order = np.argsort(values)
-        values, times = values[order], times[order]
-        doc, h = shingle_sets(texts, words)
-        short = h >> np.uint64(64 - COUNT_BITS)
-        df = np.ones(len(h), np.int64)
-        if len(values):
-            at = np.minimum(np.searchsorted(values, short), len(values) - 1)
-            df = np.where(values[at] == short, times[at], 1)
-        upto = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
+_BLOCK = "r long, c string, bits int, v binary, k array<string>, digest array<binary>, n array<long>"
+
+
+def _prefixes(docs: DataFrame, n_ranges: int, words: int, percent: int) -> DataFrame:
+    """One row per document of ``docs`` (k, t): k, digest of its word sequence, n, shared (shingles that others have).
+
+    The first document of each digest in its chunk that can have links also has posts (its prefix shingles that others have and
+    FURTHER_SHINGLES more, in order), own (how many of them are the prefix), grams (all its shared shingles) and parts (how
+    many of these lie in each part of the hash range).
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task, nth = TaskContext.get().partitionId(), 0
+        for b in batches:
+            keys, every = b["k"].tolist(), b["t"].fillna("").tolist()
+            for lo, hi in slices(every, CHUNK_CHARS):
+                texts, name, nth = every[lo:hi], f"{task}.{nth}", nth + 1
+                doc, h = shingle_sets(texts, words)
+                bits = max(1, (len(texts) - 1).bit_length())
+                n = np.bincount(doc, minlength=len(texts))
+                # equal word sequences of a chunk have equal shingles: each tells of its own, so they count as several documents
+                both = np.sort((h >> np.uint64(64 - HASH_BITS) << np.uint64(bits)) | doc.astype(np.uint64))
+                at = _ranges(both >> np.uint64(bits), n_ranges)
+                rows = [(int(at[a]), name, bits, _packed(both[a:z]), None, None, None) for a, z in _runs(at)]
+                # who the documents are goes by the same way, dealt over the ranges
+                rows.append(((task * 7919 + nth) % n_ranges, name, bits, None, keys[lo:hi], [_digest(t) for t in texts], n))
+                yield pd.DataFrame(rows, columns=["r", "c", "bits", "v", "k", "digest", "n"])
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        about = group["v"].isna()
+        blocks = group[~about]
+        out = group[about].assign(df=None)
+        if len(blocks):
+            both = [_unpacked(v) for v in blocks["v"]]
+            value = np.concatenate([x >> np.uint64(b) for x, b in zip(both, blocks["bits"])])
+            order = np.argsort(value, kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], np.diff(value[order]) > 0]))
+            df = np.empty(len(value), np.int64)
+            df[order] = np.repeat(np.diff(np.append(new, len(value))), np.diff(np.append(new, len(value))))
+            rows, at = [], 0
+            for x, (c, bits) in zip(both, zip(blocks["c"], blocks["bits"])):
+                times, at = df[at : at + len(x)], at + len(x)
+                if len(hit := np.flatnonzero(times > 1)):
+                    rows.append((0, c, bits, _packed(x[hit]), None, None, None, times[hit].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+            if rows:
+                known = pd.DataFrame(rows, columns=[*group.columns, "df"], dtype=object)
+                out = pd.concat([out.astype(object), known]) if len(out) else known
+        return out.drop(columns="r")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        about = group[group["v"].isna()].iloc[0]
+        known = group[group["v"].notna()]
+        bits = np.uint64(group["bits"].iloc[0])
+        both = np.concatenate([_unpacked(v) for v in known["v"]]) if len(known) else np.zeros(0, np.uint64)
+        df = np.concatenate([np.ascontiguousarray(np.frombuffer(t, np.uint8).reshape(4, -1).T).view("<u4").ravel() for t in known["df"]]).astype(np.int64) if len(known) else np.zeros(0, np.int64)
+        doc, value = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), (both >> bits).astype(np.int64)
+        order = np.lexsort((value, df, doc))
+        doc, value, df = doc[order], value[order], df[order]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(about["k"])))])
         seen, rows = set(), []
-        for i, t in enumerate(texts):
-            a, b = upto[i], upto[i + 1]
-            n = int(b - a)
-            digest = hashlib.blake2b(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest()
-            posts = grams = None
-            shared = int((df[a:b] > 1).sum())
-            if n and digest not in seen:
+        for i, (k, digest, n) in enumerate(zip(about["k"], about["digest"], about["n"])):
+            shared, n, digest = int(upto[i + 1] - upto[i]), int(n), bytes(digest)
+            posts = grams = parts = None
+            own = prefix_length(n, percent) - (n - shared)
+            if n and own > 0 and digest not in seen:
                 seen.add(digest)
-                p = prefix_length(n, percent)
-                if n - shared < p:
-                    rare = np.lexsort((h[a:b], df[a:b]))[:p]
-                    posts = h[a:b][rare[df[a:b][rare] > 1]].view(np.int64)
-                    grams = h[a:b].view(np.int64)
-            rows.append((docs["k"].iloc[i], digest, n, shared, posts, grams))
-        return pd.DataFrame(rows, columns=["k", "digest", "n", "shared", "posts", "grams"])
+                grams = value[upto[i] : upto[i + 1]]
+                posts, grams = grams[: own + FURTHER_SHINGLES], np.sort(grams)
+                parts = np.bincount(_ranges(grams.view(np.uint64), PARTS), minlength=PARTS)
+            rows.append((k, digest, n, shared, max(0, own), parts, posts, grams))
+        return pd.DataFrame(rows, columns=["k", "digest", "n", "shared", "own", "parts", "posts", "grams"])
 
-    return chunked.groupBy("c").cogroup(frequencies.groupBy("c")).applyInPandas(meet, "k string, digest binary, n long, shared long, posts array<long>, grams array<long>")
+    answered = docs.mapInPandas(cut, _BLOCK).groupBy("r").applyInPandas(answer, _BLOCK.replace("r long, ", "") + ", df binary")
+    return answered.groupBy("c").applyInPandas(meet, "k string, digest binary, n long, shared long, own long, parts array<int>, posts array<long>, grams array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar enough, by their whole sets; the suffix filter spares most of the rest."""
-    a = sets.select(F.col("digest").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("digest").alias("b"), F.col("grams").alias("gb"))
-    cuts = (np.arange(1, 16, dtype=np.int64) << 60) + np.iinfo(np.int64).min
+    """The (a, b) of ``pairs`` that are similar enough, by their whole sets; ``sets`` stays where it is."""
+    a = sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    b = sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
 
-    @F.pandas_udf("boolean")
-    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("long")
+    def common(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:
-            out = np.zeros(len(xs), bool)
-            for i, (x, y) in enumerate(zip(xs, ys)):
-                x, y = np.sort(np.asarray(x, np.int64)), np.sort(np.asarray(y, np.int64))
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                px = np.diff(np.searchsorted(x, cuts), prepend=0, append=len(x))
-                py = np.diff(np.searchsorted(y, cuts), prepend=0, append=len(y))
-                if np.minimum(px, py).sum() >= need:
-                    out[i] = len(np.intersect1d(x, y, assume_unique=True)) >= need
-            yield pd.Series(out)
+            yield pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(xs, ys)], dtype="int64")
 
-    return pairs.join(a, "a").join(b, "b").where(similar("ga", "gb")).select("a", "b")
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), common("ga", "gb").alias("both"))
+    return met.where(F.col("both") * (100 + percent) >= F.col("n") * percent).select("a", "b")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -192,13 +216,16 @@ def connected(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("now"), F.col("label").alias("far"))
         step = materialize(step.join(jump, "now", "left").select("node", "label", F.least("now", F.coalesce("far", "now")).alias("now")), "labels")
         changed = step.where(F.col("label") != F.col("now")).limit(1).count()
+        discard(labels)
         labels = step.select("node", F.col("now").alias("label"))
+        labels.scratch = step.scratch
         if not changed:
+            discard(both)
             return labels
 
 
 def _pairs(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, of postings that meet in a bucket, in different components: length and positional filter.
+    """(a, b), a < b, of postings that meet in a bucket, in different components: length, positional and suffix filter.
 
     Were this the first shingle that two sets share, all they share would come from it on, and shingles that no other document
     has cannot be among it. A pair that can be similar passes at its first one.
@@ -207,60 +234,86 @@ def _pairs(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
     y = other.select("gram", *[F.col(c).alias(f"{c}2") for c in MEMBER])
     met = x.join(y, "gram").where("label1 <> label2").where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
     met = met.where(f"{100 + percent} * least(shared1 - idx1, shared2 - idx2) >= {percent} * (n1 + n2)")
+    most = F.aggregate(F.zip_with("parts1", "parts2", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, v: a + v)
+    met = met.where((100 + percent) * most >= percent * (F.col("n1") + F.col("n2")))
     swap = F.col("digest1") > F.col("digest2")
     met = met.select(F.when(swap, F.col("digest2")).otherwise(F.col("digest1")).alias("a"), F.when(swap, F.col("digest1")).otherwise(F.col("digest2")).alias("b"))
     return met.distinct()
 
 
+def _split(large: DataFrame, posts: DataFrame, level: int) -> DataFrame:
+    """The postings of ``large`` dealt anew: by their shingles so far and one more that comes later in the document.
+
+    The ``level``-th further shingle lies within the first own + level postings. At the last of level + 1 common shingles, level
+    of them have come before it, so its place counts less by so many.
+    """
+    later = posts.where(F.col("idx") < F.col("own") + level).select("digest", F.col("gram").alias("_more"), F.col("idx").alias("_at"))
+    met = large.join(later, "digest").where(F.col("_at") > F.col("last"))
+    return met.select(F.xxhash64("gram", "_more").alias("gram"), *MEMBER[:-1], (F.col("_at") - level).alias("idx"), F.col("_at").alias("last"))
+
+
 def _classes(rows: DataFrame, percent: int) -> DataFrame | None:
     """(node, label) of the digests with links, from the postings and sets of ``rows``; None if there are none."""
+    spark = rows.sparkSession
     candidates = rows.where(F.size("posts") > 0)
-    sets = materialize(candidates.groupBy("digest").agg(F.any_value("n").alias("n"), F.max("shared").alias("shared"), F.any_value("posts").alias("posts"), F.any_value("grams").alias("grams")), "sets")
+    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one = [F.any_value(c).alias(c) for c in ("n", "own", "shared", "parts", "posts", "grams")]
+    # held on disk by digest: every verification joins pairs to it without moving it; what a lost executor held is made again
+    sets = candidates.repartition(n_parts, "digest").groupBy("digest").agg(*one).persist(StorageLevel.DISK_ONLY)
     # idx counts among the shingles that others have: in rare-first order those that none has come before them
-    posts = sets.select("digest", "n", "shared", F.posexplode("posts").alias("idx", "gram"))
+    posts = sets.select("digest", "n", "own", "shared", "parts", F.posexplode("posts").alias("idx", "gram"))
     # a shingle that copies of one text alone share meets nothing
     common = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     posts = materialize(posts.join(common, "gram"), "posts")
-    n_posts = posts.count()
-    if not n_posts:
-        return None
-    links, seen, labels = None, None, None
-    now = posts.withColumn("label", F.col("digest"))
-    for round_ in range(MAX_PIVOT_ROUNDS + 1):
+    now = posts.where(F.col("idx") < F.col("own")).select("gram", "digest", F.col("digest").alias("label"), "n", "shared", "parts", "idx", F.col("idx").alias("last"))
+    n_posts = now.count()
+    links = seen = labels = left = None
+    round_ = level = 0
+    while n_posts:
         # first the text that the others come from: the one with the least share of shingles that no other document has
-        central = (F.lit(0.0) if round_ else 1 - F.col("shared") / F.col("n")).alias("c")
-        cells = now.groupBy("gram", "label").agg(F.count("*").alias("m"), F.min(F.struct(central, F.xxhash64("digest", F.lit(round_)).alias("h"), "digest", "label", "n", "shared", "idx")).alias("pivot"))
+        central = (1 - F.col("shared") / F.col("n") if not (round_ or level) else F.lit(0.0)).alias("c")
+        cells = now.groupBy("gram", "label").agg(F.count("*").alias("m"), F.min(F.struct(central, F.xxhash64("digest", F.lit(round_)).alias("h"), *MEMBER)).alias("pivot"))
         buckets = cells.groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.min("pivot").alias("pivot")).where("m * m > mm")
         buckets = materialize(buckets, "buckets")
         open_ = buckets.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0]
         if not open_:
+            discard(buckets)
             break
         # a bucket of one component stays one: only open ones go on
-        left = materialize(now.join(buckets.select("gram"), "gram").select("gram", *MEMBER), "open")
-        last = open_ <= OPEN_FACTOR * n_posts or round_ == MAX_PIVOT_ROUNDS
-        other = left if last else buckets.select("gram", *[F.col(f"pivot.{c}").alias(c) for c in MEMBER])
-        pairs = _pairs(left, other, percent)
+        before, left = left, materialize(now.join(buckets.select("gram", F.col("m").alias("size")), "gram").select("gram", *MEMBER, "last", "size"), "open")
+        discard(before)
+        last = open_ <= OPEN_FACTOR * n_posts or (level == FURTHER_SHINGLES and round_ >= MAX_PIVOT_ROUNDS)
+        deal = not last and round_ >= MAX_PIVOT_ROUNDS
+        # small buckets in full before the large ones are dealt anew
+        small = left.where(F.col("size") <= SPLIT_ABOVE) if deal else left
+        pairs = _pairs(small, small, percent) if last or deal else _pairs(left, buckets.select("gram", *[F.col(f"pivot.{c}").alias(c) for c in MEMBER]), percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        discard(buckets)
         seen = pairs if seen is None else seen.unionByName(pairs)
         found = materialize(_verify(pairs, sets, percent), "found")
         links = found if links is None else links.unionByName(found)
+        discard(labels)
         labels = connected(links)
         if last:
             break
-        now = left.drop("label").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        now = (left.where(F.col("size") > SPLIT_ABOVE) if deal else left).drop("label", "size").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        round_ += 1
+        if deal:
+            round_, level = 0, level + 1
+            now = _split(now, posts, level)
+    sets.unpersist()
+    discard(posts)
+    discard(left)
     return labels
 
 
 def _members(docs: DataFrame, text: str, key: str, name: Column, words: int, percent: int) -> DataFrame:
     """(k, digest, n_shingles) of each row of ``docs``: its ``name``, a string, and its class, the same for all that links reach."""
-    n = docs.count()
-    n_chunks = max(1, n // CHUNK_DOCS)
-    chunked = docs.select(name.alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(key, text), F.lit(n_chunks)).alias("c"))
-    frequencies = _frequencies(chunked, words, max(1, n_chunks // RANGE_CHUNKS))
-    rows = materialize(_prefixes(chunked, frequencies, words, percent), "prefixes")
-    labels = _classes(rows.select("digest", "n", "shared", "posts", "grams"), percent)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = materialize(_prefixes(docs.select(name.alias("k"), F.col(text).alias("t")), max(1, size // RANGE_BYTES), words, percent), "prefixes")
+    labels = _classes(rows, percent)
     each = rows.select("k", "digest", F.col("n").alias("n_shingles"))
     if labels is not None:
         each = each.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("digest", F.coalesce("label", "digest")).drop("label")

@@ -1,12 +1,18 @@
 """Best-fit packing of documents into sequences of at most ``max_tokens`` tokens.
 
-Bulk-synchronous best fit. Documents (longer ones as pieces) are range-sorted by length and ranked within their length over
-all partitions. Rounds go down the lengths: all pieces of one length meet the gaps at once, each gap's successor sweep gives it
-as many of them as fit, smallest gap first; where more pieces want a gap than it holds, their rank decides; the gaps are
-updated and the next round begins. Gaps of equal size are one run (size, number), and pieces of equal length are one run too,
-so the rounds work on at most ``max_tokens`` lengths and a few runs for each, whatever the corpus is. That table of runs is all
-that reaches the driver; every piece finds its sequence in the tasks, by its length and rank. The result equals sequential
-best-fit decreasing.
+Bulk-synchronous best fit. Pieces go in bands of lengths, the longest first, each half as long as the one before. In each band
+rounds are repeated until all its pieces are placed:
+
+1. Pieces and the gaps that sequences still have are range-sorted by size together, a gap before a piece of its size.
+2. Every range is swept downwards: a piece takes its successor, the smallest gap that holds it; what it leaves of the gap is a
+   gap again, in its place in the order.
+3. Pieces whose range has no gap for them compete for the gaps of the ranges above: their ranks (running tokens) deal them to the
+   gaps that are left there, the nearest range first, and what these cannot hold by volume to new sequences. Each such share is
+   swept in the same way.
+4. The gaps are updated, and pieces that found none go into the next round.
+
+All tables have one row for each piece of the band or each open sequence, and no text. What reaches the driver is one row for
+each range and round. New sequences are opened only for tokens that no gap above could hold, or after ``FULL_ROUNDS`` rounds.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each for itself; an empty table gives
 an empty result; other columns are ignored, whatever their names.
@@ -14,10 +20,9 @@ an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import os
-import struct
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,33 +36,91 @@ MAX_TOKENS = 4096
 END_ID = 1
 #: Words in each of the two generations whose ids a Python worker remembers: some 100 MB each.
 CACHE_WORDS = 400_000
+#: Words that are encoded in one call.
+JOINED_WORDS = 128
+#: Rounds of a band that leave gaps open to its pieces before new sequences are opened for all that remain.
+FULL_ROUNDS = 3
+LAST_BAND = 6
+#: Pieces that are swept together into new sequences.
+SHARE_PIECES = 250_000
+#: Marks at a word's end that are tokens of their own, whatever they follow.
+_TAIL = ",.;:!?)"
 _STATE: dict = {}
 
 
-def _encode(texts: list[str], tokenizer_path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text. White space always parts words here, so each word is looked up once."""
+def _start(tokenizer_path: str) -> None:
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    _STATE.update(path=tokenizer_path, tokenizer=tokenizer, closes=closes, ids={}, old={})
+
+
+def _encode_each(words: list[str]) -> None:
+    for at in range(0, len(words), 8192):
+        part = words[at : at + 8192]
+        for w, e in zip(part, _STATE["tokenizer"].encode_batch_fast(part, add_special_tokens=False)):
+            _STATE["ids"][w] = np.array(e.ids, "<u4").tobytes()
+
+
+def _encode_letters(words: list[str]) -> None:
+    """Words of letters alone are one token run each, so many go in one call and are cut apart where a run closes."""
+    groups = [words[at : at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
+    for part, e in zip(groups, _STATE["tokenizer"].encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        ends = np.flatnonzero(_STATE["closes"][ids]) + 1
+        if len(ends) != len(part):  # a letter that is none for the tokenizer
+            _encode_each(part)
+            continue
+        raw, lo = ids.tobytes(), 0
+        for w, hi in zip(part, (4 * ends).tolist()):
+            _STATE["ids"][w] = raw[lo:hi]
+            lo = hi
+
+
+def _learn(words: set[str]) -> None:
+    """Ids of new words. Case and closing marks make most of the forms of a word: it is encoded once, its marks once."""
+    ids, letters, other, made = _STATE["ids"], set(), [], []
+    for w in words:
+        core = w.rstrip(_TAIL)
+        if core.isalpha():
+            low = core.lower() if core.isascii() else core
+            letters.add(low)
+            if low != w:
+                made.append((w, low, w[len(core) :]))
+        else:
+            other.append(w)
+    other += [tail for tail in {m[2] for m in made} if tail not in ids]
+    _encode_letters([w for w in letters if w not in ids])
+    _encode_each(other)
+    empty = b""
+    for w, low, tail in made:
+        ids[w] = ids[low] + (ids[tail] if tail else empty)
+
+
+def _encode(texts: list[str], tokenizer_path: str) -> Iterator[bytes]:
+    """Little-endian 32-bit ids of each text. White space always parts words here, so each word is looked up once.
+
+    This holds for tokenizers that split at white space and close each run of letters, marks or single digit with </w>.
+    """
     if _STATE.get("path") != tokenizer_path:
-        _STATE.update(path=tokenizer_path, tokenizer=Tokenizer.from_file(tokenizer_path), ids={}, old={})
-    tokenizer = _STATE["tokenizer"]
+        _start(tokenizer_path)
     for lo in range(0, len(texts), 256):
         split = [t.replace("\n", " ").split(" ") for t in texts[lo : lo + 256]]
         if len(_STATE["ids"]) > CACHE_WORDS:
             # words that come again are taken over from the old generation, the others go with the next change
             _STATE.update(ids={}, old=_STATE["ids"])
         ids, old = _STATE["ids"], _STATE["old"]
-        new = []
+        new = set()
         for w in set().union(*split) - ids.keys():
             if (known := old.get(w)) is None:
-                new.append(w)
+                new.add(w)
             else:
                 ids[w] = known
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids[w] = struct.pack(f"<{len(e)}I", *e.ids)
+        _learn(new)
         for words in split:
             yield b"".join(map(ids.__getitem__, words))
 
@@ -85,84 +148,149 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
     return out.withColumn(key, F.col(key).cast(kind))
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Rounds over runs: (length, first rank, first sequence, pieces per sequence, offset in it), by length and rank.
+_SWEPT = "home long, part long, kind int, id long, size long, sequence_id long, offset long"
+PLACED, PIECE, GAP = 0, 1, 2
+
+
+def _sweep(rows: DataFrame, capacity: int) -> DataFrame:
+    """Best fit within each home of each partition of ``rows`` (home, kind, id, size, sequence_id).
 
-    ``counts``: pieces of each length. Pieces of ranks from ``first rank`` on go to the sequences from ``first sequence`` on,
-    so many to each. Every round ends a length or a run of gaps and leaves at most two runs more: the number of runs is bounded
-    by the number of lengths.
+    Rows must lie by home, then size downwards, gaps before pieces. Gives the placed pieces with sequence_id and offset, the pieces
+    that no gap of their home holds, and the gaps as they are then; part is the partition's number.
     """
-    gaps: list[int] = []  # sizes, ascending
-    runs: dict[int, list[tuple[int, int]]] = {}  # size: [(first sequence, number)]
-    plan, opened = [], 0
-
-    def add(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in runs:
-                runs[size] = []
-                insort(gaps, size)
-            runs[size].append((first, n))
-
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            i = bisect_left(gaps, length)
-            if i < len(gaps):
-                size = gaps[i]
-                first, n = runs[size].pop()
-                if not runs[size]:
-                    del runs[size], gaps[i]
-            else:
-                size, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            each = size // length
-            full = min(n, left // each)
-            rest = left - full * each if full < n else 0
-            plan.append((length, rank, first, each, capacity - size))
-            add(size - each * length, first, full)
-            if rest:
-                add(size - rest * length, first + full, 1)
-            add(size, first + full + bool(rest), n - full - bool(rest))
-            rank += full * each + rest
-            left -= full * each + rest
-    return plan
+
+    def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, home = TaskContext.get().partitionId(), None
+        open_: list[tuple[int, int]] = []  # gaps not smaller than where the sweep is: (size, sequence), the smallest last
+        later: list[tuple[int, int]] = []  # smaller ones that pieces have left: a heap of (-size, sequence)
+
+        def close() -> list[tuple]:
+            out = [(home, part, GAP, -1, size, seq, capacity - size) for size, seq in [*open_, *((-x, seq) for x, seq in later)] if size]
+            open_.clear(), later.clear()
+            return out
+
+        for b in batches:
+            out = []
+            for h, kind, id_, size, seq in zip(*(b[c].tolist() for c in ("home", "kind", "id", "size", "sequence_id"))):
+                if h != home:
+                    out += close()
+                    home = h
+                while later and -later[0][0] >= size:
+                    rest, other = heapq.heappop(later)
+                    open_.append((-rest, other))
+                if kind == GAP:
+                    open_.append((size, seq))
+                elif open_:
+                    gap, seq = open_.pop()
+                    out.append((home, part, PLACED, id_, size, seq, capacity - gap))
+                    rest = gap - size
+                    if rest >= size:
+                        open_.append((rest, seq))
+                    else:
+                        heapq.heappush(later, (-rest, seq))
+                else:
+                    out.append((home, part, PIECE, id_, size, -1, -1))
+            yield pd.DataFrame(out, columns=_COLUMNS)
+        yield pd.DataFrame(close(), columns=_COLUMNS)
+
+    return rows.select("home", "kind", "id", "size", "sequence_id").mapInPandas(swept, _SWEPT)
+
+
+_COLUMNS = [c.split()[0] for c in _SWEPT.split(", ")]
+
+
+def _shares(ranges: list, first_new: int, everything_new: bool, capacity: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]], int]:
+    """Where the ranges' unplaced pieces go: (range, from, to, home) by running tokens, and new sequences (home, first, number).
+
+    ``ranges``: rows (part, pieces, tokens, longest, volume) from the largest sizes down; volume is what the range's gaps hold. The
+    gaps nearest above come first. Homes of new sequences are negative. Also the next sequence's number.
+    """
+    above: list[list[int]] = []  # [range, tokens its gaps still hold], the nearest last
+    shares, new, home = [], [], -1
+    for r in ranges:
+        at, end = 0, r["tokens"] or 0
+        while at < end and above and not everything_new:
+            take = min(end - at, above[-1][1])
+            shares.append((r["part"], at, at + take, above[-1][0]))
+            at += take
+            above[-1][1] -= take
+            if not above[-1][1]:
+                above.pop()
+        while at < end:
+            # each sequence holds so many of them, however long they are
+            step = max(r["longest"], min(end - at, r["longest"] * SHARE_PIECES))
+            pieces = min(r["pieces"], step // r["shortest"] + 1)
+            n = -(-pieces // (capacity // r["longest"]))
+            shares.append((r["part"], at, at + step, home))
+            new.append((home, first_new, n))
+            first_new, home, at = first_new + n, home - 1, at + step
+        if r["volume"]:
+            above.append([r["part"], r["volume"]])
+    return shares, new, first_new
+
+
+def _place_band(todo: DataFrame, gaps: DataFrame | None, first_new: int, capacity: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """Rounds until every piece of ``todo`` (id, size) is placed: the placed ones, the gaps then, the next sequence's number."""
+    spark, placed, round_ = todo.sparkSession, [], 0
+    row = lambda df, kind: df.select(F.lit(0).cast("long").alias("home"), F.lit(kind).alias("kind"), *(["id", "size", F.lit(-1).cast("long").alias("sequence_id")] if kind == PIECE else [F.lit(-1).cast("long").alias("id"), "size", "sequence_id"]))
+    while True:
+        both = row(todo, PIECE) if gaps is None else row(todo, PIECE).unionByName(row(gaps, GAP))
+        # equal sizes are dealt to several ranges where they are many
+        order = [F.col("size").desc(), F.col("kind").desc(), F.xxhash64("id", "sequence_id")]
+        swept = materialize(_sweep(both.repartitionByRange(*order).sortWithinPartitions(*order), capacity), "swept")
+        placed.append(swept.where(F.col("kind") == PLACED))
+        is_piece, size = F.col("kind") == PIECE, F.col("size")
+        left = F.when(is_piece, size)
+        found = swept.where(F.col("kind") != PLACED).groupBy("part").agg(F.count(left).alias("pieces"), F.sum(left).alias("tokens"), F.max(left).alias("longest"), F.min(left).alias("shortest"), F.coalesce(F.sum(F.when(~is_piece, size)), F.lit(0)).alias("volume"))
+        ranges = sorted(found.collect(), key=lambda r: r["part"])
+        round_ += 1
+        free = swept.where(F.col("kind") == GAP)
+        if not any(r["pieces"] for r in ranges):
+            return placed, free.select("size", "sequence_id"), first_new
+        shares, new, first_new = _shares(ranges, first_new, round_ > FULL_ROUNDS, capacity)
+        # a few rows for each range
+        share = F.broadcast(spark.createDataFrame(shares, "of long, lo long, hi long, to long"))
+        before = F.sum("size").over(Window.partitionBy("part").orderBy(size.desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+        dealt = swept.where(is_piece).withColumn("_at", before).join(share, (F.col("part") == F.col("of")) & (F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi")))
+        rows = dealt.select(F.col("to").alias("home"), "kind", "id", "size", "sequence_id")
+        homes = sorted({s[3] for s in shares if s[3] >= 0})
+        used = free.where(F.col("part").isin(homes)) if homes else free.limit(0)
+        rows = rows.unionByName(used.select(F.col("part").alias("home"), "kind", "id", "size", "sequence_id"))
+        if new:
+            opened = spark.createDataFrame(new, "home long, first long, n long").select("home", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("sequence_id"))
+            rows = rows.unionByName(opened.select("home", F.lit(GAP).alias("kind"), F.lit(-1).cast("long").alias("id"), F.lit(capacity).cast("long").alias("size"), "sequence_id"))
+        carried = materialize(_sweep(rows.repartition("home").sortWithinPartitions("home", F.col("size").desc(), F.col("kind").desc(), "id", "sequence_id"), capacity), "carried")
+        placed.append(carried.where(F.col("kind") == PLACED))
+        gaps = carried.where(F.col("kind") == GAP).select("size", "sequence_id")
+        untouched = free.where(~F.col("part").isin(homes)) if homes else free
+        gaps = gaps.unionByName(untouched.select("size", "sequence_id"))
+        todo = carried.where(is_piece).select("id", "size")
+        if not todo.limit(1).count():
+            return placed, gaps, first_new
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``pieces`` (key, piece, length, ...) with sequence_id and offset: best-fit decreasing over all pieces."""
-    spark = pieces.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the range sort reads its input twice, once to sample the bounds: the texts are tokenised before that, once
-    pieces = materialize(pieces, "tokenized")
-    # the key and piece break ties, so that one common length is still dealt to many partitions; written once, since the
-    # bounds of a range sort are sampled
-    spread = F.xxhash64(F.col(key), F.col("piece"), F.monotonically_increasing_id())
+    """``pieces`` (key, piece, length, ...) with sequence_id and offset, by the rounds above."""
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    sorted_ = pieces.select(*kept).withColumn("_spread", spread).repartitionByRange(parts, F.col("length").desc(), F.col("_spread")).withColumn("_part", F.spark_partition_id())
-    sorted_ = materialize(sorted_.drop("_spread"), "pieces")
-    ranked = sorted_.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", "length").orderBy(key, "piece")) - 1)
-    # partitions times the lengths in each: the range sort lets a length meet few partitions
-    by_part = sorted_.groupBy("length", "_part").count().orderBy(F.col("length").desc(), "_part").collect()
-    before, counts = {}, {}
-    for r in by_part:
-        before[r["length"], r["_part"]] = counts.get(r["length"], 0)
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
-    plan = sorted(best_fit_runs(counts, max_tokens))
-    table = np.array(plan, np.int64).reshape(-1, 5)
-    starts = table[:, 0] << 44 | table[:, 1]
-    heads = {k: v for k, v in before.items() if v}
-
-    @F.pandas_udf("struct<sequence_id long, offset long>")
-    def place(length: pd.Series, part: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n = length.to_numpy(np.int64)
-        r = rank.to_numpy(np.int64) + np.fromiter((heads.get(x, 0) for x in zip(n.tolist(), part.tolist())), np.int64, len(n))
-        row = table[np.searchsorted(starts, n << 44 | r, "right") - 1]
-        j = r - row[:, 1]
-        return pd.DataFrame({"sequence_id": row[:, 2] + j // row[:, 3], "offset": row[:, 4] + j % row[:, 3] * n})
-
-    placed = ranked.withColumn("_at", place("length", "_part", "_rank"))
-    return placed.select(*[F.col(f"`{c}`") for c in kept], F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    # written once with a number for each row: whatever ties, a task that runs again finds the same rows
+    pieces = materialize(pieces.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias("_id")), "pieces")
+    sizes = pieces.select(F.col("_id").alias("id"), F.col("length").cast("long").alias("size"))
+    # band k holds lengths up to max_tokens / 2**k, the last one all shorter ones
+    band = F.least(F.floor(F.log2(max_tokens / F.col("size"))), F.lit(LAST_BAND)).cast("int")
+    bands = sorted(r["b"] for r in sizes.select(band.alias("b")).distinct().collect())
+    placed, gaps, first_new = [], None, 0
+    for b in bands:
+        now, gaps, first_new = _place_band(sizes.where(band == b), gaps, first_new, max_tokens)
+        placed += now
+    if not placed:
+        return pieces.drop("_id").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    at = placed[0]
+    for more in placed[1:]:
+        at = at.unionByName(more)
+    at = at.select(F.col("id").alias("_id"), "sequence_id", "offset")
+    return pieces.join(at, "_id").select(*[F.col(f"`{c}`") for c in kept], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
