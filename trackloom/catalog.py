@@ -899,11 +899,24 @@ def window_scores(spark, d):
     return out.groupBy("seq").agg(F.count_if(F.col("scored") > 0).alias("n"))
 
 
-@query()
+_DATASET = RUNS + f""",
+d AS (SELECT agent, session, t, x, lead(x) OVER w - x AS label FROM r WINDOW w AS (PARTITION BY agent, session ORDER BY t)),
+f AS (SELECT *, lag(label) OVER w AS input FROM d WINDOW w AS (PARTITION BY agent, session ORDER BY t)),
+k AS (SELECT * FROM f WHERE label IS NOT NULL AND input IS NOT NULL),
+m AS (SELECT avg(x) AS xa, stddev_pop(x) AS xs, avg(input) AS ia, stddev_pop(input) AS isd, avg(label) AS la, stddev_pop(label) AS ls FROM k),
+z AS (SELECT agent, session + 1 AS session, t, label AS raw_label, (x - xa) / nullif(xs, 0) AS x, (input - ia) / nullif(isd, 0) AS input, (label - la) / nullif(ls, 0) AS label FROM k, m),
+q AS (SELECT quantile_cont(label, {[i / 10 for i in range(11)]}) AS edges FROM z),
+b AS (SELECT z.*, least(greatest(len(list_filter(edges, lambda v: v <= label)) - 1, 0), 9)::INT AS label_bin, session + ((t - session) // {LENGTH}) * {LENGTH} AS chunk_start FROM z, q),
+g AS (SELECT *, count(*) OVER (PARTITION BY agent, session, chunk_start) AS found FROM b)
+SELECT agent, session, chunk_start, (t - chunk_start)::INT AS pos, {d6("x")} AS x, {d6("input")} AS input, label_bin, {d6("raw_label")} AS raw_label FROM g WHERE found = {LENGTH}"""
+
+
+@query(_DATASET)
 def training_chunks(spark, d):
-    """The dataset of the track: chunks with z-scored inputs and binned labels."""
+    """The dataset of the track: the rows of its chunks with z-scored inputs and binned labels."""
     chunks_, _ = dataset.build_dataset(_track(spark, d), "x", _valid(), LENGTH)
-    return chunks_
+    rows = chunks_.select("agent", "session", "chunk_start", F.inline("rows"))
+    return rows.withColumns({c: r6(c) for c in ("x", "input", "raw_label")})
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
