@@ -97,9 +97,14 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     whole = F.struct(key, *columns)
     # one row per block: min_by over a key that orders like the window
     first_of = rows.groupBy("_block").agg(F.min_by(whole, F.struct(F.col(key).isNull().alias("a"), (-F.col(key)).alias("b"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])).alias("_row"))
-    every = Window.partitionBy(F.lit(0)).orderBy("_block")
-    guards = first_of.withColumn("_to", F.coalesce(F.lag("_block").over(every), F.max("_block").over(Window.partitionBy(F.lit(0)))))
-    guards = guards.select(F.col(f"_row.{key}").alias(key), *[F.col(f"_row.{c}").alias(c) for c in columns], F.col("_to").alias("_block"), F.lit(True).alias("_guard"))
+    # where each first row goes follows from block numbers alone: within a run of blocks from the number before it, and from run to
+    # run, of which there are few more than COARSE_BLOCKS, from the last number of the run before; the first goes to the last of all
+    numbers = rows.select("_block").distinct().withColumn("_run", F.floor(F.col("_block") / fine))
+    runs = numbers.groupBy("_run").agg(F.max("_block").alias("_last"))
+    over_runs = Window.partitionBy(F.lit(0))
+    runs = runs.select("_run", F.coalesce(F.lag("_last").over(over_runs.orderBy("_run")), F.max("_last").over(over_runs)).alias("_before"))
+    to = numbers.join(runs, "_run").select("_block", F.coalesce(F.lag("_block").over(Window.partitionBy("_run").orderBy("_block")), "_before").alias("_to"))
+    guards = first_of.join(to, "_block").select(F.col(f"_row.{key}").alias(key), *[F.col(f"_row.{c}").alias(c) for c in columns], F.col("_to").alias("_block"), F.lit(True).alias("_guard"))
     together = rows.withColumn("_guard", F.lit(False)).unionByName(guards)
     w = Window.partitionBy("_block").orderBy("_guard", *order)
     nxt = F.lead(whole).over(w)
