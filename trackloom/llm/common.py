@@ -62,7 +62,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """Whole texts of at most ``per_class`` labelled documents of each class: columns text, label.
 
     ``docs`` has doc_id and text and holds only rows that may be learned from. The choice is by a hash of the id, so reruns
-    and other partitionings agree. Rows without label or id are never chosen; of several labels of one id the largest counts.
+    and other partitionings agree. Rows without label or id are never chosen; of several labels of one id the largest counts, of several texts the least.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     # ids only: the texts of a few thousand documents are read in a second pass
@@ -73,7 +73,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = ids.where(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * per_class ids: a size bound that does not depend on the input
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), order.alias("k")).dropDuplicates(["k"]).orderBy("k").drop("k")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), order.alias("k")).groupBy("k").agg(F.min(F.struct("text", "label")).alias("r")).orderBy("k").select("r.text", "r.label")
 
 
 def class_counts(docs: DataFrame, labels: DataFrame, label: str) -> tuple[int, int]:
