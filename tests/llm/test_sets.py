@@ -121,6 +121,10 @@ def test_next_rows(spark):
     want = {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
     assert {r.text: r.next_text for r in out} == want
     assert merkle.with_next(docs_of(spark, []), "doc_id", ["text"]).count() == 0
+    many = spark.range(30_000).select((F.col("id") * 7 % 30_011).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    out = {r.doc_id: r.next_doc_id for r in merkle.with_next(many, "doc_id", ["text"]).collect()}  # several blocks in each run
+    order = sorted(out, reverse=True)
+    assert len(order) == 30_000 and out == dict(zip(order, order[1:] + order[:1]))
     one = merkle.with_next(docs_of(spark, [(3, "only", "s")]), "doc_id", ["text"]).first()
     assert one.next_text == "only"
 
@@ -154,6 +158,9 @@ def test_mixing_targets_and_copies(spark):
     assert mixed.columns == [c.split()[0] for c in SCHEMA.split(", ")] and mixed.count() == sum(r.copies for r in out)
     assert sorted(map(str, mixing.mix_plan(docs_of(spark, rows)).collect())) == sorted(map(str, out))
     assert mixing.mix_plan(docs_of(spark, [])).count() == 0
+    clash = docs_of(spark, rows).withColumn("_source", F.lit(1)).withColumn("copies", F.lit("mine"))
+    kept = mixing.mix_sources(clash)
+    assert kept.columns == clash.columns and {(r.target, r.copies, r._source) for r in kept.collect()} == {("clash", "mine", 1)}
 
 
 def best_fit_decreasing(lengths, capacity):

@@ -9,7 +9,8 @@ source's size; what it leaves is shared again among the others by weight until n
 
 Defined results: a null text has size 0; a null source is a source of its own; a null id draws like an empty one; repeated
 rows are mixed each for itself with equal draws; a source without words has target 0 and its documents are taken 0 times; an
-empty table gives an empty result; other columns pass through, but columns named like the added ones are replaced.
+empty table gives an empty result; other columns pass through. In the plan, columns named like the added ones are replaced; the
+mixed table keeps all columns of the caller as they are.
 """
 
 from __future__ import annotations
@@ -59,15 +60,17 @@ def mix_plan(docs: DataFrame, text: str = "text", seed: int = 11, weights: tuple
 
 def _with_copies(sized: DataFrame, targets: DataFrame, seed: int, max_repeat: int) -> DataFrame:
     few = targets.count() <= BROADCAST_SOURCES
-    right = targets.withColumnRenamed("source", "_source")
-    joined = sized.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    right = (F.broadcast(targets) if few else targets).alias("t")
+    joined = sized.alias("d").join(right, F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
     rate = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(float(max_repeat)))
     # 48 bits of an md5 as a number in [0, 1)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     return joined.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mixed table: ``docs`` with every document as often as the plan takes it; the columns of ``docs``."""
-    plan = mix_plan(docs, **options).where(F.col("copies") > 0)
-    return plan.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the caller's columns travel in one, so that none of them meets a name of the plan
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    plan = mix_plan(docs.select("doc_id", "source", F.col(text).alias("text"), row), **options).where(F.col("copies") > 0)
+    return plan.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
