@@ -28,6 +28,7 @@ out each for itself; an empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,7 @@ MAX_PIVOT_ROUNDS = 2
 SPLIT_ABOVE, FURTHER_SHINGLES = 64, 2
 #: The columns of a posting beside its shingle.
 MEMBER = ("digest", "label", "n", "shared", "parts", "idx")
+LEFT = ("gram", *MEMBER, "last", "size")
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,15 +226,41 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, label) after ``labels`` have taken in the links ``found``: only the components that these links join go through rounds."""
+    if labels is None:
+        return connected(found)
+    new = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+    own = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+    between = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    far = connected(between)
+    every = labels.select("node", "label").union(new.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    out = every.join(far.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left")
+    out = materialize(out.select("node", F.coalesce("_far", "label").alias("label")), "labels")
+    discard(far)
+    return out
+
+
 def _pairs(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b, of postings that meet in a bucket, in different components: length, positional and suffix filter.
 
     Were this the first shingle that two sets share, all they share would come from it on, and shingles that no other document
     has cannot be among it. A pair that can be similar passes at its first one.
     """
-    x = one.select("gram", *[F.col(c).alias(f"{c}1") for c in MEMBER])
-    y = other.select("gram", *[F.col(c).alias(f"{c}2") for c in MEMBER])
-    met = x.join(y, "gram").where("label1 <> label2").where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+    at = ["gram"]
+    if one is other:
+        # sets of similar sizes lie in the same or in neighbouring bands, the smaller one looks in both: this splits large buckets
+        width = math.log(100 / percent) * 1.01 + 0.001
+        large, band = F.col("size") > SPLIT_ABOVE, F.floor(F.log("n") / width)
+        at.append("band")
+        other = one.withColumn("band", F.when(large, band).otherwise(F.lit(0)))
+        one = one.withColumn("band", F.explode(F.when(large, F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    x = one.select(*at, *[F.col(c).alias(f"{c}1") for c in MEMBER])
+    y = other.select(*at, *[F.col(c).alias(f"{c}2") for c in MEMBER])
+    met = x.join(y, at).where("label1 <> label2")
+    if len(at) > 1:
+        met = met.where("n1 < n2 or (n1 = n2 and digest1 < digest2)")
+    met = met.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
     met = met.where(f"{100 + percent} * least(shared1 - idx1, shared2 - idx2) >= {percent} * (n1 + n2)")
     most = F.aggregate(F.zip_with("parts1", "parts2", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, v: a + v)
     met = met.where((100 + percent) * most >= percent * (F.col("n1") + F.col("n2")))
@@ -267,22 +295,26 @@ def _classes(rows: DataFrame, percent: int) -> DataFrame | None:
     posts = materialize(posts.join(common, "gram"), "posts")
     now = posts.where(F.col("idx") < F.col("own")).select("gram", "digest", F.col("digest").alias("label"), "n", "shared", "parts", "idx", F.col("idx").alias("last"))
     n_posts = now.count()
-    links = seen = labels = left = None
+    seen = labels = left = large = None
     round_ = level = 0
+    before_deal = 0
     while n_posts:
         # first the text that the others come from: the one with the least share of shingles that no other document has
         central = (1 - F.col("shared") / F.col("n") if not (round_ or level) else F.lit(0.0)).alias("c")
         cells = now.groupBy("gram", "label").agg(F.count("*").alias("m"), F.min(F.struct(central, F.xxhash64("digest", F.lit(round_)).alias("h"), *MEMBER)).alias("pivot"))
         buckets = cells.groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.min("pivot").alias("pivot")).where("m * m > mm")
         buckets = materialize(buckets, "buckets")
-        open_ = buckets.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0]
+        to_check = (F.col("m") * F.col("m") - F.col("mm")) / 2
+        open_, in_large = buckets.agg(F.sum(to_check), F.sum(F.when(F.col("m") > SPLIT_ABOVE, to_check))).first()
         if not open_:
             discard(buckets)
             break
+        # documents that share a whole passage share every further shingle of it: where dealing would make more pairs, it is left out
+        undone = large is not None and round_ == 0 and open_ >= before_deal
         # a bucket of one component stays one: only open ones go on
-        before, left = left, materialize(now.join(buckets.select("gram", F.col("m").alias("size")), "gram").select("gram", *MEMBER, "last", "size"), "open")
+        before, left = left, materialize(large if undone else now.drop("size").join(buckets.select("gram", F.col("m").alias("size")), "gram").select(*LEFT), "open")
         discard(before)
-        last = open_ <= OPEN_FACTOR * n_posts or (level == FURTHER_SHINGLES and round_ >= MAX_PIVOT_ROUNDS)
+        last = undone or open_ <= OPEN_FACTOR * n_posts or (level == FURTHER_SHINGLES and round_ >= MAX_PIVOT_ROUNDS)
         deal = not last and round_ >= MAX_PIVOT_ROUNDS
         # small buckets in full before the large ones are dealt anew
         small = left.where(F.col("size") <= SPLIT_ABOVE) if deal else left
@@ -293,16 +325,23 @@ def _classes(rows: DataFrame, percent: int) -> DataFrame | None:
         discard(buckets)
         seen = pairs if seen is None else seen.unionByName(pairs)
         found = materialize(_verify(pairs, sets, percent), "found")
-        links = found if links is None else links.unionByName(found)
-        discard(labels)
-        labels = connected(links)
+        linked = not found.isEmpty()
+        if linked:
+            before, labels = labels, _merged(labels, found)
+            discard(before)
         if last:
             break
-        now = (left.where(F.col("size") > SPLIT_ABOVE) if deal else left).drop("label", "size").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        if not (linked or deal):
+            # pivots that linked nothing leave unlike texts: further ones would not either
+            round_ = MAX_PIVOT_ROUNDS - 1
+        now = left.where(F.col("size") > SPLIT_ABOVE) if deal else left
+        if labels is not None:
+            now = now.drop("label").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         round_ += 1
         if deal:
             round_, level = 0, level + 1
-            now = _split(now, posts, level)
+            large, before_deal = now.select(*LEFT), in_large
+            now = _split(large, posts, level)
     sets.unpersist()
     discard(posts)
     discard(left)
