@@ -15,7 +15,9 @@ Groups of near copies are not expanded into all their pairs. Rounds link the mem
 documents become one component, and pairs within a component need no check. Once the pairs that are still open are no more
 than a few for each posting, they are all checked. Buckets that stay large after the pivot rounds hold unlike texts around one
 passage: since similar sets that first meet there also share a second shingle of a prefix that is longer by one, the bucket's
-postings are dealt anew by both shingles, then by three. No link between different components is lost.
+postings are dealt anew by both shingles, then by three. Where that makes more pairs than it saves (documents that share a whole
+passage share all its shingles), they are checked undealt. In large buckets only sets of the same or the next band of sizes
+meet. No link between different components is lost.
 
 Frequencies and sets go by 48 bits of each shingle's hash: two sets of n shingles share one by mere chance with a probability
 of n * n / 2**48.
