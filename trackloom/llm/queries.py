@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lattice_lm, line_rules, merkle, mixing, packing, pii_crf, quality_mil, toxicity, url_filter
-from .common import held_out
+from . import jaccard_join, lattice_lm, line_rules, merkle, mixing, packing, pii_crf, quality_mil, run_detection, toxicity, url_filter
+from .common import WORD, held_out
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -81,7 +81,34 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_lattice": op2_lattice, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_merkle": op7_merkle, "op8_jaccard": op8_jaccard, "op9_urls": op9_urls, "op10_rules": op10_rules}
+def _planted(doc_id: Column, text: Column) -> Column:
+    """A tenth of the texts made periodic: with h = crc32(doc_id) and g = h div 10, words from g mod n on repeat the first p of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(ws: Column) -> Column:
+        n = F.size(ws).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        word = lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + (i - a) % p).cast("int")))
+        return F.array_join(F.transform(ws, word), " ")
+
+    # the words as the only element of an array: they are extracted once, not for each word
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.when(h % 10 == 0, F.get(F.transform(words, repeated), F.lit(0))).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = run_detection.collapse_runs(docs.select("doc_id", _planted(F.col("doc_id"), F.col("text")).alias("text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    worst = [F.col(f"worst.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(1000 * F.col("worst.length") / F.col("worst.period")).alias("exponent_milli")
+    return found.select("doc_id", "n_runs", *worst, milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_lattice": op2_lattice, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_merkle": op7_merkle, "op8_jaccard": op8_jaccard, "op9_urls": op9_urls, "op10_rules": op10_rules, "op11_runs": op11_runs}
 
 _WS = r"\x20\x09-\x0D"
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
