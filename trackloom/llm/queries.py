@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lattice_lm, line_rules, merkle, mixing, packing, pii_crf, quality_mil, run_detection, toxicity, url_filter
+from . import jaccard_join, lattice_lm, line_rules, merkle, mixing, packing, pii_crf, quality_mil, run_detection, simhash_tiles, toxicity, url_filter
 from .common import WORD, held_out
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -108,7 +108,12 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", *worst, milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_lattice": op2_lattice, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_merkle": op7_merkle, "op8_jaccard": op8_jaccard, "op9_urls": op9_urls, "op10_rules": op10_rules, "op11_runs": op11_runs}
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash_tiles.simhash_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_lattice": op2_lattice, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_merkle": op7_merkle, "op8_jaccard": op8_jaccard, "op9_urls": op9_urls, "op10_rules": op10_rules, "op11_runs": op11_runs, "op12_simhash": op12_simhash}
 
 _WS = r"\x20\x09-\x0D"
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
