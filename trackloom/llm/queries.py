@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lattice_lm, line_rules, merkle, mixing, packing, pii_crf, quality_mil, run_detection, simhash_tiles, toxicity, url_filter
-from .common import WORD, held_out
+from . import jaccard_join, lattice_lm, line_rules, merkle, mixing, packing, pii_crf, quality_mil, run_detection, simhash_tiles, spelling_trie, toxicity, url_filter
+from .common import WORD, held_out, lower_ascii
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -113,7 +113,21 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_lattice": op2_lattice, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_merkle": op7_merkle, "op8_jaccard": op8_jaccard, "op9_urls": op9_urls, "op10_rules": op10_rules, "op11_runs": op11_runs, "op12_simhash": op12_simhash}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    least = 7
+    runs = F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"[A-Za-z\u00C0-\u00FF]+"), F.lit(0))).alias("run")
+    found = _read(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), runs)
+    size = F.char_length("run")
+    found = found.where(size >= least)
+    # a letter of every 31st run is deleted, by a hash
+    h = F.crc32(F.concat("id", F.lit(":"), "run"))
+    at = (h % size).cast("int")
+    word = F.when(h % 31 == 0, F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, size))).otherwise(F.col("run"))
+    words = found.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.char_length("word") >= least) & (F.col("n") >= 2))
+    return spelling_trie.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_lattice": op2_lattice, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_merkle": op7_merkle, "op8_jaccard": op8_jaccard, "op9_urls": op9_urls, "op10_rules": op10_rules, "op11_runs": op11_runs, "op12_simhash": op12_simhash, "op13_spelling": op13_spelling}
 
 _WS = r"\x20\x09-\x0D"
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
