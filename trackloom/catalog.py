@@ -564,8 +564,8 @@ def body_centric(spark, d):
     return out.select("agent", "t", "point", r6("p.x").alias("x"), r6("p.y").alias("y"))
 
 
-def _pose_sql() -> str:
-    """The pose features written out from their definitions, apart from the operator's code."""
+def _pose_parts() -> tuple[str, dict[str, str]]:
+    """The pose features written out from their definitions, apart from the operator's code: a table b and an expression for each."""
     b = {n: (f"(({n}_x - ox) * cos(th) + ({n}_y - oy) * sin(th))", f"(({n}_y - oy) * cos(th) - ({n}_x - ox) * sin(th))") for n in pose.KEYPOINTS}
     body = ", ".join(f"{x} AS {n}_x, {y} AS {n}_y" for n, (x, y) in b.items())
     dist = lambda x, y: f"sqrt(({x}) * ({x}) + ({y}) * ({y}))"
@@ -580,10 +580,13 @@ def _pose_sql() -> str:
         a_base, a_joint = how(ang(*base)), how(ang(*joint))
         f |= {f"{side}_front_leg_tip_dist": dist(*front), f"{side}_front_leg_tip_angle": how(ang(*front)), f"{side}_middle_femur_base_dist": dist(*base), f"{side}_middle_femur_base_angle": a_base, f"{side}_middle_femur_tibia_joint_dist": dist(*joint), f"{side}_middle_femur_tibia_joint_angle": wrap(f"{a_joint} - {a_base}"), f"{side}_middle_leg_tip_dist": dist(*tip), f"{side}_middle_leg_tip_angle": wrap(f"pi() - {ang(*tip)} - {a_joint}") if side == "left" else wrap(f"{ang(*tip)} - {a_joint}"), f"{side}_back_leg_tip_dist": dist(*back), f"{side}_back_leg_tip_angle": how(ang(*back))}
     f |= {"left_wing_angle": wrap(ang("wing_left_x", "wing_left_y + L / 2") + " - pi()"), "right_wing_angle": "-" + ang("wing_right_x", "wing_right_y + L / 2")}
-    return SIZES + f", o AS (SELECT kp.*, {_FX} AS ox, {_FY} AS oy, {_TH} AS th, s.thorax_length AS L FROM kp JOIN sizes s USING (id)), b AS (SELECT agent, t, ox, oy, th, L, {body} FROM o) SELECT agent, t, " + ", ".join(f"round({f[n]}, 5) + 0.0 AS {n}" for n in pose.POSE) + " FROM b"
+    return SIZES + f", o AS (SELECT kp.*, {_FX} AS ox, {_FY} AS oy, {_TH} AS th, s.thorax_length AS L FROM kp JOIN sizes s USING (id)), b AS (SELECT agent, t, ox, oy, th, L, {body} FROM o)", f
 
 
-@query(_pose_sql())
+POSES, POSE_PARTS = _pose_parts()
+
+
+@query(POSES + " SELECT agent, t, " + ", ".join(f"round({POSE_PARTS[n]}, 5) + 0.0 AS {n}" for n in pose.POSE) + " FROM b")
 def pose_features(spark, d):
     kp = _kp(spark, d)
     return pose.pose_features(kp, pose.scales(kp)).select("agent", "t", *[(F.round(n, 5) + 0.0).alias(n) for n in pose.POSE])

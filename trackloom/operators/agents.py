@@ -31,42 +31,87 @@ def _points(names: tuple[str, ...], kp: str) -> Column:
     return F.array(*[F.struct(at(n, kp)[0].alias("x"), at(n, kp)[1].alias("y")) for n in names])
 
 
-def vision(df: DataFrame, frame: list[str], agent: str = "agent", kp: str = "kp") -> DataFrame:
-    """(frame, agent, sector, distance, value): how near the nearest other agent is in each of 72 sectors about the eye.
+def _nearest(lists: Column) -> Column:
+    """Elementwise least of arrays of one length, NULL where all are."""
+    return F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.get(lists, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y)))
 
-    An agent covers the sectors between its outermost points; one that spans the direction behind covers both ends.
-    """
-    ex, ey = at("antennae_midpoint", kp)
+
+def _eye(kp: str) -> tuple[Column, Column, Column]:
+    """Place of the eye and heading."""
     front = ((at("left_front_thorax", kp)[0] + at("right_front_thorax", kp)[0]) / 2, (at("left_front_thorax", kp)[1] + at("right_front_thorax", kp)[1]) / 2)
     base = at("base_thorax", kp)
-    own = df.select(*frame, agent, ex.alias("ex"), ey.alias("ey"), mod2pi(F.atan2(front[1] - base[1], front[0] - base[0]) - PI / 2).alias("theta"), _points(SEEN, kp).alias("seen"))
-    met = pairs(own, frame, ["seen"], agent)
+    return *at("antennae_midpoint", kp), mod2pi(F.atan2(front[1] - base[1], front[0] - base[0]) - PI / 2)
+
 
-    def seen(p: Column) -> Column:
-        x, y = rotate(p["x"] - F.col("ex"), p["y"] - F.col("ey"), F.col("theta") + PI / 2)
+def _by_sector(seen: str) -> Column:
+    """Distance of another agent in each sector that it covers, from its points about the eye; NULL in the others."""
+
+    def about(p: Column) -> Column:
+        x, y = rotate(p["x"] - F.col("_ex"), p["y"] - F.col("_ey"), F.col("_th") + PI / 2)
         return F.struct(mod2pi(F.atan2(y, x)).alias("angle"), F.hypot(x, y).alias("dist"))
 
-    met = met.withColumn("v", F.transform("other_seen", seen))
-    sector = lambda a: F.least(F.floor((a + PI) / (2 * PI / SECTORS)), F.lit(SECTORS - 1)).cast("int")
-    angles = F.transform("v", lambda s: s["angle"])
-    met = met.select(*frame, agent, angles.alias("a"), F.array_min(F.transform("v", lambda s: s["dist"])).alias("d"))
-    behind = F.exists("a", lambda a: a > PI / 2) & F.exists("a", lambda a: a < -PI / 2) & ~F.exists("a", lambda a: F.abs(a) <= PI / 2)
-    all_ = F.sequence(sector(F.array_min("a")), sector(F.array_max("a")))
-    split = F.concat(F.sequence(F.lit(0), sector(F.array_max(F.filter("a", lambda a: a < 0)))), F.sequence(sector(F.array_min(F.filter("a", lambda a: a >= 0))), F.lit(SECTORS - 1)))
-    hit = met.select(*frame, agent, F.explode(F.when(behind, split).otherwise(all_)).alias("sector"), "d").groupBy(*frame, agent, "sector").agg(F.min("d").alias("distance"))
-    grid = df.select(*frame, agent, F.explode(F.sequence(F.lit(0), F.lit(SECTORS - 1))).alias("sector"))
-    out = grid.join(hit, [*frame, agent, "sector"], "left")
-    return out.withColumn("value", F.coalesce(1 - F.least(F.lit(1.0), VISION_FACTOR * F.pow("distance", F.lit(VISION_EXPONENT))), F.lit(0.0)))
+    def sectors(v: Column) -> Column:
+        sector = lambda a: F.least(F.floor((a + PI) / (2 * PI / SECTORS)), F.lit(SECTORS - 1)).cast("int")
+        a, d = F.transform(v, lambda q: q["angle"]), F.array_min(F.transform(v, lambda q: q["dist"]))
+        behind = F.exists(a, lambda x: x > PI / 2) & F.exists(a, lambda x: x < -PI / 2) & ~F.exists(a, lambda x: F.abs(x) <= PI / 2)
+        span = F.struct(d.alias("d"), behind.alias("behind"), sector(F.array_min(a)).alias("lo"), sector(F.array_max(a)).alias("hi"),
+                        sector(F.array_max(F.filter(a, lambda x: x < 0))).alias("left"), sector(F.array_min(F.filter(a, lambda x: x >= 0))).alias("right"))
+        every = F.sequence(F.lit(0), F.lit(SECTORS - 1))
+
+        def distances(c: Column) -> Column:
+            covered = lambda s: F.when(c["behind"], (s <= c["left"]) | (s >= c["right"])).otherwise((s >= c["lo"]) & (s <= c["hi"]))
+            return F.transform(every, lambda s: F.when(covered(s), c["d"]))
+
+        return F.get(F.transform(F.array(span), distances), F.lit(0))
+
+    # one-element arrays bind what is computed once and used often
+    return F.get(F.transform(F.array(F.transform(seen, about)), sectors), F.lit(0))
+
+
+def senses(df: DataFrame, frame: list[str], agent: str = "agent", kp: str = "kp", keep: list[str] = (), parts: tuple[str, ...] = ("vision", "touch"), factor: float = TOUCH_FACTOR) -> DataFrame:
+    """(frame, agent, keep, vision, touch): what each agent sees in its 72 sectors and feels at its points, as arrays of nearness.
+
+    Agents of a frame meet in one join by frame; a pair's distances stay together in one row as arrays, and the least ones are taken
+    over the few others of the frame, so nothing but keypoints crosses a shuffle. touch has, for each own point, one value for each
+    point of others. An agent alone sees and feels nothing.
+    """
+    ex, ey, th = _eye(kp)
+    own = df.select(*frame, agent, *keep, F.col(kp).alias("_own"), ex.alias("_ex"), ey.alias("_ey"), th.alias("_th"))
+    other = df.select(*frame, F.col(agent).alias("_other"), _points(SEEN, kp).alias("_seen"), _points(TOUCHED, kp).alias("_touched"))
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in frame]
+    met = own.alias("a").join(other.alias("b"), [*on, F.col(f"a.{agent}") != F.col("b._other")], "left").select("a.*", "_other", "_seen", "_touched")
+    nearest, scale = {}, {"vision": (VISION_FACTOR, VISION_EXPONENT), "touch": (factor, TOUCH_EXPONENT)}
+    if "vision" in parts:
+        nearest["vision"] = _by_sector("_seen")
+    if "touch" in parts:
+        nearest["touch"] = F.flatten(F.transform("_own", lambda p: F.transform("_touched", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))))
+    met = met.select(*frame, agent, *keep, *[F.when(F.col("_other").isNotNull(), c).alias(n) for n, c in nearest.items()])
+    # lists hold the other agents of one frame: as many as share an arena
+    out = met.groupBy(*frame, agent).agg(*[F.any_value(c).alias(c) for c in keep], *[F.collect_list(n).alias(n) for n in nearest])
+    sizes = {"vision": SECTORS, "touch": len(KEYPOINTS) * len(TOUCHED)}
+
+    def felt(n: str) -> Column:
+        f, e = scale[n]
+        value = lambda d: F.coalesce(1 - F.least(F.lit(1.0), f * F.pow(d, F.lit(e))), F.lit(0.0))
+        return F.when(F.size(n) > 0, F.transform(_nearest(F.col(n)), value)).otherwise(F.array_repeat(F.lit(0.0), sizes[n]))
+
+    return out.select(*frame, agent, *keep, *[felt(n).alias(n) for n in nearest])
+
+
+def vision(df: DataFrame, frame: list[str], agent: str = "agent", kp: str = "kp") -> DataFrame:
+    """(frame, agent, sector, value): how near the nearest other agent is in each of 72 sectors about the eye.
+
+    An agent covers the sectors between its outermost points; one that spans the direction behind covers both ends.
+    """
+    out = senses(df, frame, agent, kp, parts=("vision",))
+    return out.select(*frame, agent, F.posexplode("vision").alias("sector", "value"))
 
 
 def touch(df: DataFrame, frame: list[str], agent: str = "agent", kp: str = "kp", factor: float = TOUCH_FACTOR) -> DataFrame:
     """(frame, agent, own, other, value): for each own point and each point of others, nearness of the nearest agent."""
-    own = df.select(*frame, agent, F.col(kp).alias("own"), _points(TOUCHED, kp).alias("touched"))
-    met = pairs(own, frame, ["touched"], agent)
-    rows = met.select(*frame, agent, F.posexplode("own").alias("own", "p"), "other_touched").select(*frame, agent, "own", "p", F.posexplode("other_touched").alias("other", "q"))
-    dist = F.hypot(F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y"))
-    out = rows.groupBy(*frame, agent, "own", "other").agg(F.min(dist).alias("d"))
-    return out.select(*frame, agent, "own", "other", F.coalesce(1 - F.least(F.lit(1.0), factor * F.pow("d", F.lit(TOUCH_EXPONENT))), F.lit(0.0)).alias("value"))
+    out = senses(df, frame, agent, kp, parts=("touch",), factor=factor)
+    n = len(TOUCHED)
+    return out.select(*frame, agent, F.posexplode("touch").alias("_i", "value")).select(*frame, agent, F.floor(F.col("_i") / n).cast("int").alias("own"), (F.col("_i") % n).alias("other"), "value")
 
 
 def touch_factor(df: DataFrame, frame: list[str], agent: str = "agent", kp: str = "kp", share: float = 0.99) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -9,12 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import bin_of, signed_sqrt
+from trackloom.operators.ranks import exact_percentiles
+
+#: Occupied histogram cells that come to the driver at most, over all keys.
+MAX_CELLS = 1 << 20
+
+
+def _keyed(df: DataFrame, x: str) -> DataFrame:
+    """(key, x): the values of a column under key 0, those of an array column under their places."""
+    if dict(df.dtypes)[x].startswith("array"):
+        return df.select(F.posexplode(x).alias("key", "x"))
+    return df.select(F.lit(0).alias("key"), F.col(x).alias("x"))
+
+
+def _even(k: int, outlier: float) -> list[float]:
+    return [outlier + (1 - 2 * outlier) * i / k for i in range(k + 1)]
 
 
 def quantile_edges(df: DataFrame, x: str, k: int, outlier: float = 0.0) -> list[float]:
     """k+1 edges at even quantiles between the two tails cut off (shares, not per cent)."""
-    probs = [outlier + (1 - 2 * outlier) * i / k for i in range(k + 1)]
-    return list(df.agg(F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias("q")).first().q or [])
+    return exact_percentiles(_keyed(df, x), _even(k, outlier)).get(0, [])
 
 
 def uniform_edges(lo: float, hi: float, k: int) -> list[float]:
@@ -39,31 +54,115 @@ def kmeans_edges(df: DataFrame, x: str, k: int, seed: int = 0) -> list[float]:
     return [lo, *[(a + b) / 2 for a, b in zip(centres, centres[1:])], hi]
 
 
-def minimum_width_edges(df: DataFrame, x: str, k: int, width: float, outlier: float = 0.001) -> list[float]:
-    """k+1 edges no closer than ``width``: uniform if width is too large for k bins, quantiles if it is 0, and else a fine
-    histogram whose least populated neighbours merge until k bins are left (ties: the first)."""
-    q = F.percentile(x, F.array(F.lit(outlier), F.lit(1 - outlier)))
-    lo, hi = df.agg(q.alias("q")).first().q
-    if width <= 0:
-        return quantile_edges(df, x, k, outlier)
-    n = int((hi - lo) / width)
+def merged_cells(counts: dict[int, int], n: int, k: int) -> list[int]:
+    """Borders (0 .. n) of k bins made of n cells, of which ``counts`` has the occupied ones: the least populated neighbours merge, of
+    equal ones the first, until k are left. Empty stretches are one item, so the work depends on the occupied cells alone."""
     if n <= k:
-        return uniform_edges(lo, hi, k)
-    edges = uniform_edges(lo, hi, n)
-    b = F.greatest(F.least(F.floor((F.col(x) - lo) / ((hi - lo) / n)), F.lit(n - 1)), F.lit(0))
-    found = {r.b: r.n for r in df.where(F.col(x).between(lo, hi)).groupBy(b.cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
-    counts = [found.get(i, 0) for i in range(n)]
-    while len(counts) > k:
-        i = min(range(len(counts) - 1), key=lambda j: counts[j] + counts[j + 1])
-        counts[i : i + 2] = [counts[i] + counts[i + 1]]
-        del edges[i + 1]
-    return edges
+        return list(range(n + 1))
+    # items: first cell, cells, rows; an empty stretch counts as the merges that close it
+    first, rows, at = [], [], 0
+    for c in sorted(counts):
+        if c > at:
+            first.append(at)
+            rows.append(0)
+        first.append(c)
+        rows.append(counts[c])
+        at = c + 1
+    if at < n:
+        first.append(at)
+        rows.append(0)
+    size = [b - a for a, b in zip(first, [*first[1:], n])]
+    left = n - k
+    # cells of a stretch meet at no cost, the first stretch first
+    borders: list[int] = []
+    for i, (f, z) in enumerate(zip(first, size)):
+        if rows[i] == 0 and z > 1:
+            merged = min(left, z - 1)
+            left -= merged
+            borders += range(f + merged + 1, f + z)
+    if not left:
+        return sorted({0, n, *first, *borders})
+    after, before = [*range(1, len(first)), -1], [-1, *range(len(first) - 1)]
+    heap = [(rows[i] + rows[i + 1], first[i], i, rows[i], rows[i + 1]) for i in range(len(first) - 1)]
+    heapq.heapify(heap)
+    alive = [True] * len(first)
+    while left:
+        _, _, i, x, y = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j < 0 or rows[i] != x or rows[j] != y:
+            continue  # one of them has merged since
+        rows[i] += rows[j]
+        alive[j] = False
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+            heapq.heappush(heap, (rows[i] + rows[after[i]], first[i], i, rows[i], rows[after[i]]))
+        if before[i] >= 0:
+            h = before[i]
+            heapq.heappush(heap, (rows[h] + rows[i], first[h], h, rows[h], rows[i]))
+        left -= 1
+    return [*[f for f, a in zip(first, alive) if a], n]
+
+
+def joint_edges(df: DataFrame, column: str, k: int, widths: list[float] | None = None, outlier: float = 0.001) -> list[list[float]]:
+    """k+1 edges for each place of an array column (a plain column is one place), all from the same passes.
+
+    No two edges are closer than the place's width: uniform edges if it is too large for k bins, quantiles if it is 0, and else a
+    fine histogram whose least populated neighbours merge (merged_cells). At most MAX_CELLS occupied cells come to the driver.
+    """
+    values = _keyed(df, column)
+    found = exact_percentiles(values, _even(k, outlier))
+    out: dict[int, list[float]] = {}
+    fine: dict[int, tuple[float, float, int]] = {}
+    for key, q in found.items():
+        width = widths[key] if widths else 0.0
+        lo, hi = q[0], q[-1]
+        n = int((hi - lo) / width) if width > 0 else 0
+        if width <= 0:
+            out[key] = q
+        elif n <= k:
+            out[key] = uniform_edges(lo, hi, k)
+        else:
+            fine[key] = (lo, hi, n)
+    if fine:
+        table = df.sparkSession.createDataFrame([(key, *f) for key, f in fine.items()], "key int, lo double, hi double, n long")
+        cell = F.greatest(F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.col("n"))), F.col("n") - 1), F.lit(0))
+        cells = values.join(F.broadcast(table), "key").where("x between lo and hi").groupBy("key", cell.alias("cell")).agg(F.count("*").alias("rows"))
+        rows = cells.limit(MAX_CELLS + 1).collect()
+        if len(rows) > MAX_CELLS:
+            raise ValueError(f"over {MAX_CELLS} cells of the given widths are occupied: use larger widths")
+        counts: dict[int, dict[int, int]] = {}
+        for r in rows:
+            counts.setdefault(r.key, {})[r.cell] = r["rows"]
+        for key, (lo, hi, n) in fine.items():
+            out[key] = [lo + (hi - lo) * i / n for i in merged_cells(counts.get(key, {}), n, k)]
+    return [out[key] for key in sorted(out)]
+
+
+def joint_means(df: DataFrame, column: str, edges: list[list[float]]) -> list[list[float]]:
+    """The mean of every bin of every place of an array column; an empty bin has its midpoint."""
+    nested = F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in edges])
+    binned = _keyed(df, column).where("x is not null").select("key", "x", bin_of(F.col("x"), F.get(nested, F.col("key"))).alias("bin"))
+    found = {(r.key, r.bin): r["mean"] for r in binned.groupBy("key", "bin").agg(F.avg("x").alias("mean")).collect()}
+    return [[found.get((i, b), (lo + hi) / 2) for b, (lo, hi) in enumerate(zip(e, e[1:]))] for i, e in enumerate(edges)]
+
+
+def minimum_width_edges(df: DataFrame, x: str, k: int, width: float, outlier: float = 0.001) -> list[float]:
+    """k+1 edges no closer than ``width``: joint_edges of one column."""
+    return joint_edges(df, x, k, [width], outlier)[0]
+
+
+def with_boundary(edges: list[float], lo: float, hi: float) -> list[float]:
+    """The edges between fixed outer ones, in which outliers fall: inner edges beyond them are left out."""
+    return [lo, *[e for e in edges if lo < e < hi], hi]
 
 
 def bin_statistics(df: DataFrame, x: str, edges: list[float]) -> DataFrame:
     """(bin, lo, hi, centre, mean, median, n) of every bin; an empty one has its midpoint as mean and median."""
-    agg = df.where(F.col(x).isNotNull()).groupBy(bin_of(x, edges).alias("bin")).agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.count("*").alias("n"))
-    grid = df.sparkSession.createDataFrame([(i, float(a), float(b), (a + b) / 2) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin int, lo double, hi double, centre double")
+    binned = df.where(F.col(x).isNotNull()).select(bin_of(x, edges).alias("bin"), F.col(x).alias("x"))
+    agg = binned.groupBy("bin").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+    medians = exact_percentiles(binned.withColumnRenamed("bin", "key"), [0.5])
+    grid = df.sparkSession.createDataFrame([(i, float(a), float(b), (a + b) / 2, medians.get(i, [None])[0]) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin int, lo double, hi double, centre double, median double")
     return grid.join(agg, "bin", "left").select("bin", "lo", "hi", "centre", F.coalesce("mean", "centre").alias("mean"), F.coalesce("median", "centre").alias("median"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

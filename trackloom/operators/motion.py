@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import dct, mod2pi, rotate
+from trackloom.functions.geometry import dct, dct_rows, mod2pi, rotate
 
 
 def _w(keys: list[str], t: str) -> WindowSpec:
@@ -49,6 +49,65 @@ def global_velocity(df: DataFrame, x: str, y: str, theta: str, keys: list[str],
     return out.select("*", *cols).drop("_turn")
 
 
+def pose_velocity(df: DataFrame, pose: str, angles: list[bool], keys: list[str], t: str, name: str = "velocity") -> DataFrame:
+    """The combined velocity of a pose array (x, y, heading, relative features): forward, sideways and turn in the frame of the heading
+    at t, and the one-step change of every relative feature, wrapped where ``angles`` says so. NULL without a next frame."""
+    w = _w(keys, t)
+    p, q = (lambda i: F.get(F.col(pose), F.lit(i))), (lambda i: F.get(F.col("_q"), F.lit(i)))
+    side, fwd = rotate(q(0) - p(0), q(1) - p(1), p(2))
+    steps = [mod2pi(q(i) - p(i)) if wrapped else q(i) - p(i) for i, wrapped in enumerate(angles) if i > 2]
+    value = F.array(fwd, side, mod2pi(q(2) - p(2)), *steps)
+    return df.withColumn("_q", ahead(pose, 1, w, t)).withColumn(name, F.when(F.col("_q").isNotNull(), value)).drop("_q")
+
+
+def integrate_pose(df: DataFrame, velocity: str, start: str, angles: list[bool], keys: list[str], t: str, name: str = "pose") -> DataFrame:
+    """The pose of every row from one-step velocities and the pose ``start`` of each first row: the way back of pose_velocity."""
+    w = _w(keys, t)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    v = lambda i: F.get(F.col(velocity), F.lit(i))
+    first = lambda i: F.get(F.first(start).over(w), F.lit(i))
+    run = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    out = df.withColumn("_th", first(2) + run(v(2)))
+    dx, dy = rotate(v(1), v(0), -F.col("_th"))
+    out = out.withColumns({"_dx": dx, "_dy": dy})
+    rest = [first(i) + run(v(i)) for i in range(3, len(angles))]
+    values = [first(0) + run("_dx"), first(1) + run("_dy"), mod2pi("_th"), *[mod2pi(c) if a else c for c, a in zip(rest, angles[3:])]]
+    return out.withColumn(name, F.array(*values)).drop("_th", "_dx", "_dy")
+
+
+def relative_lookaheads(df: DataFrame, feature: str, keys: list[str], t: str, n: int, angle: bool = False, name: str | None = None) -> DataFrame:
+    """<feature>_ahead: array of the changes over 1 .. n frames; of an angle, sums of its wrapped one-step changes. NULL unless all are there."""
+    w = _w(keys, t)
+    step = ahead(feature, 1, w, t) - F.col(feature)
+    frame = w.rowsBetween(0, n - 1)
+    out = df.withColumn("_d", mod2pi(step) if angle else step)
+    whole = F.count("_d").over(frame) == n
+    # running totals of the list, so that one window serves all look-aheads
+    steps = F.collect_list("_d").over(frame)
+    total = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.aggregate(F.slice(F.col("_s"), 1, k), F.lit(0.0), lambda a, x: a + x))
+    return out.withColumn("_s", F.when(whole, steps)).withColumn(name or f"{feature}_ahead", F.when(F.col("_s").isNotNull(), total)).drop("_d", "_s")
+
+
+def _by_rows(values: Column, rows: list[list[float]]) -> Column:
+    matrix = F.array(*[F.array(*[F.lit(w) for w in row]) for row in rows])
+    return F.when(values.isNotNull(), F.transform(matrix, lambda row: F.aggregate(F.zip_with(row, values, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
+
+
+def dct_array(values: Column, n: int) -> Column:
+    """DCT of an array of n look-aheads."""
+    return _by_rows(values, dct_rows(n))
+
+
+def idct_array(values: Column, n: int) -> Column:
+    rows = dct_rows(n)
+    return _by_rows(values, [[rows[k][i] for k in range(n)] for i in range(n)])
+
+
+def future_values(current: Column, ahead_: Column, angle: bool = False) -> Column:
+    """The values at each look-ahead: the current one and its changes, angles wrapped."""
+    return F.transform(ahead_, lambda d: mod2pi(current + d) if angle else current + d)
+
+
 def integrate_global(df: DataFrame, x0: str, y0: str, theta0: str, fwd: str, side: str, turn: str, keys: list[str], t: str) -> DataFrame:
     """x, y, theta from one-step velocities and the values of each session's first row: two running sums, headings first."""
     w = _w(keys, t)
@@ -87,16 +146,29 @@ def future_pairs(df: DataFrame, angle: str, keys: list[str], t: str, taus: list[
     return df.select("*", *[c for n in taus for c in (F.cos(ahead(angle, n, w, t)).alias(f"cos_{n}"), F.sin(ahead(angle, n, w, t)).alias(f"sin_{n}"))])
 
 
-def movement(df: DataFrame, x: str, y: str, theta: str, relative: list[str], angles: list[str], keys: list[str], t: str, taus: list[int], use_dct: bool = False) -> DataFrame:
-    """The label vector of each row that has every look-ahead: global look-aheads (as their DCT if asked) and one-step changes."""
+def movement(df: DataFrame, x: str, y: str, theta: str, relative: list[str], angles: list[str], keys: list[str], t: str, taus: list[int], use_dct: bool = False, relative_dct: int = 0) -> DataFrame:
+    """The label vector of each row that has every look-ahead: global look-aheads at ``taus`` (and their DCT if asked), and
+    <feature>_d1 of the relative features.
+
+    With ``relative_dct`` = n, each relative feature also has <feature>_dct, the DCT of its changes over 1 .. n frames; relative_future goes
+    back from there.
+    """
     out = global_velocity(df, x, y, theta, keys, t, taus)
     for f in relative:
-        out = relative_velocity(out, f, keys, t, [1], f in angles)
+        out = relative_lookaheads(out, f, keys, t, max(1, relative_dct), f in angles, f"_{f}")
+    whole = [F.col(f"turn_{max(taus)}").isNotNull(), F.col(f"fwd_{max(taus)}").isNotNull(), *[F.col(f"_{f}").isNotNull() for f in relative]]
+    for c in whole:
+        out = out.where(c)
+    new = {f"{f}_d1": F.get(F.col(f"_{f}"), F.lit(0)) for f in relative} | ({f"{f}_dct": dct_array(F.col(f"_{f}"), relative_dct) for f in relative} if relative_dct else {})
     if use_dct:
         for part in ("fwd", "side", "turn"):
-            values = [F.col(f"{part}_{n}") for n in taus]
-            out = out.select("*", *[c.alias(f"{part}_dct{k}") for k, c in enumerate(dct(values))])
-    return out.where(F.col(f"turn_{max(taus)}").isNotNull() & F.col(f"fwd_{max(taus)}").isNotNull())
+            new |= {f"{part}_dct{k}": c for k, c in enumerate(dct([F.col(f"{part}_{n}") for n in taus]))}
+    return out.withColumns(new).drop(*[f"_{f}" for f in relative])
+
+
+def relative_future(df: DataFrame, relative: list[str], angles: list[str], n: int) -> DataFrame:
+    """<feature>_future: the relative pose at 1 .. n frames ahead, from the row's own and the DCT of its changes."""
+    return df.withColumns({f"{f}_future": future_values(F.col(f), idct_array(F.col(f"{f}_dct"), n), f in angles) for f in relative})
 
 
 def first_rows(df: DataFrame, keys: list[str], t: str, n: int = 2) -> DataFrame:

@@ -14,6 +14,19 @@ def moments(df: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame
     return long.groupBy(*by, "feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
 
 
+def vector_moments(df: DataFrame, columns: list[str]) -> dict[str, list[list[float]]]:
+    """{column: [means, population deviations]} of array columns, place by place; missing values do not count. One pass over all."""
+    # one place to a row: hundreds of aggregates side by side would not compile into one method
+    named = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("values")) for i, c in enumerate(columns)]))
+    long = df.select(named.alias("g")).select("g.column", F.posexplode("g.values").alias("place", "x"))
+    found = long.groupBy("column", "place").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect()  # one row per feature
+    out: dict[str, list[list[float]]] = {c: [[], []] for c in columns}
+    for r in sorted(found, key=lambda r: (r["column"], r.place)):
+        for to, value in zip(out[columns[r["column"]]], (r["mean"], r.sd)):
+            to.append(value)
+    return out
+
+
 def merge_moments(parts: DataFrame, by: list[str]) -> DataFrame:
     """(n, mean, sd) of parts as those of their union (Chan): restartable and safe to update."""
     p = parts.where("n > 0").withColumn("m2", F.col("sd") * F.col("sd") * F.col("n")).withColumn("total", F.col("n") * F.col("mean"))
