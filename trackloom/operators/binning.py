@@ -13,7 +13,7 @@ from trackloom.functions.geometry import bin_of, signed_sqrt
 from trackloom.operators.ranks import exact_percentiles
 
 #: Occupied histogram cells that come to the driver at most, over all keys.
-MAX_CELLS = 1 << 20
+MAX_CELLS = 1 << 18
 
 
 def _keyed(df: DataFrame, x: str) -> DataFrame:
@@ -82,24 +82,29 @@ def merged_cells(counts: dict[int, int], n: int, k: int) -> list[int]:
             borders += range(f + merged + 1, f + z)
     if not left:
         return sorted({0, n, *first, *borders})
-    after, before = [*range(1, len(first)), -1], [-1, *range(len(first) - 1)]
-    heap = [(rows[i] + rows[i + 1], first[i], i, rows[i], rows[i + 1]) for i in range(len(first) - 1)]
+    m = len(first)
+    after, before = [*range(1, m), -1], [-1, *range(m - 1)]
+    # one number to a pair, rows of both and then its place: the heap's order is that of least rows, first place
+    shift = m.bit_length()
+    place, pop, push = (1 << shift) - 1, heapq.heappop, heapq.heappush
+    heap = [(x + y) << shift | i for i, (x, y) in enumerate(zip(rows, rows[1:]))]
     heapq.heapify(heap)
-    alive = [True] * len(first)
+    alive = [True] * m
     while left:
-        _, _, i, x, y = heapq.heappop(heap)
+        top = pop(heap)
+        i = top & place
         j = after[i]
-        if not alive[i] or j < 0 or rows[i] != x or rows[j] != y:
+        if j < 0 or not alive[i] or rows[i] + rows[j] != top >> shift:
             continue  # one of them has merged since
         rows[i] += rows[j]
         alive[j] = False
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-            heapq.heappush(heap, (rows[i] + rows[after[i]], first[i], i, rows[i], rows[after[i]]))
-        if before[i] >= 0:
-            h = before[i]
-            heapq.heappush(heap, (rows[h] + rows[i], first[h], h, rows[h], rows[i]))
+        k = after[i] = after[j]
+        if k >= 0:
+            before[k] = i
+            push(heap, (rows[i] + rows[k]) << shift | i)
+        h = before[i]
+        if h >= 0:
+            push(heap, (rows[h] + rows[i]) << shift | h)
         left -= 1
     return [*[f for f, a in zip(first, alive) if a], n]
 
