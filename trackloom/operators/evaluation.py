@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.motion import ahead
+from trackloom.operators.ranks import exact_percentiles
+from trackloom.operators.sequences import running_offsets
 
 
 def errors(truth: DataFrame, predicted: DataFrame, keys: list[str], by: list[str] = ("feature",), sd: DataFrame | None = None) -> DataFrame:
@@ -100,3 +102,24 @@ def missing_iff_invalid(df: DataFrame, valid: Column, features: list[str]) -> Da
 def segment_faults(df: DataFrame, segment: list[str], start: Column, first: Column, id: str) -> DataFrame:
     """Segments with a start inside, or with more than one individual."""
     return df.groupBy(*segment).agg(F.count_if(start & ~first).alias("inner_starts"), F.countDistinct(id).alias("ids")).where("inner_starts > 0 or ids <> 1")
+
+
+def one_axis(df: DataFrame, segment: list[str], t: str, values: list[str], gap: int = 1) -> DataFrame:
+    """(axis, segment, values): many segments side by side on one axis, in the order of their keys, with ``gap`` empty rows after each.
+
+    A segment begins at the running total of the lengths before it, so rows are placed by a join with one row per segment.
+    """
+    lengths = df.groupBy(*segment).agg(F.count("*").alias("_n"), F.min(t).alias("_t0")).withColumn("_wide", F.col("_n") + gap)
+    begins = running_offsets(lengths, segment, "_wide", "_begin")
+    w = Window.partitionBy(*segment).orderBy(t)
+    placed = df.withColumn("_k", F.row_number().over(w) - 1).join(begins, segment)
+    rows = placed.select((F.col("_begin") + F.col("_k")).alias("axis"), *segment, *values)
+    kinds = dict(df.dtypes)
+    empty = begins.where(F.lit(gap > 0)).select(F.explode(F.sequence(F.col("_begin") + F.col("_n"), F.col("_begin") + F.col("_n") + F.lit(max(gap, 1) - 1))).alias("axis"), *segment, *[F.lit(None).cast(kinds[v]).alias(v) for v in values])
+    return rows.unionByName(empty)
+
+
+def common_limits(df: DataFrame, columns: list[str], share: float = 0.01) -> tuple[float, float]:
+    """The percentiles ``share`` and 1 - ``share`` of several columns taken together."""
+    long = df.select(F.lit(0).alias("key"), F.explode(F.array(*columns)).alias("x"))
+    return tuple(exact_percentiles(long, [share, 1 - share])[0])

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.sequences import running_offsets
+
 
 def block(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """The keys and the columns of one named block (prefix_name), as name."""
@@ -50,7 +52,7 @@ def spread_lookaheads(long: DataFrame, keys: list[str], features: list[str], tau
 
 def index_in(df: DataFrame, column: str, big: DataFrame, value: str, name: str = "idx") -> DataFrame:
     """Place of each value in a sorted dimension without repeats, -1 if it is not in it."""
-    ranked = big.select(F.col(value).alias("_v")).distinct().withColumn(name, F.row_number().over(Window.orderBy("_v")) - 1)
+    ranked = running_offsets(big.select(F.col(value).alias("_v")).distinct(), ["_v"], name=name)
     return df.join(ranked, F.col(column) == F.col("_v"), "left").withColumn(name, F.coalesce(name, F.lit(-1))).drop("_v")
 
 

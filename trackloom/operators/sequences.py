@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.sources.scratch import stored
+
 
 def start_flags(df: DataFrame, agent: str = "agent", t: str = "t", id: str | None = None, frame: str | None = None) -> DataFrame:
     """isstart: the first row of an agent, or its id has changed, or its frame is not the one after the last."""
@@ -148,6 +150,23 @@ def subsample_sequences(lengths: DataFrame, key: str, n: str, target: int, seed:
     return run.where(F.col("_run") < target).select(key, n)
 
 
+def running_offsets(df: DataFrame, order: list[str], weight: str | None = None, name: str = "offset") -> DataFrame:
+    """The rows with the sum of ``weight`` (or the number) of all rows before them in a total order, without a window over all of them.
+
+    Rows are range-partitioned and stored, so that ranges stay as they are; each range is summed in a window of its own, and only one
+    number to a range goes through a single task.
+    """
+    one = F.col(weight) if weight else F.lit(1)
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_range").agg(F.sum(one).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # one row to a range: as many as there are shuffle partitions
+    placed = ranged.join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.coalesce(F.sum(one).over(w), F.lit(0)))
+    return placed.drop("_range", "_before")
+
+
 def startable(df: DataFrame, valid: Column, length: int, ahead: int, keys: list[str], t: str, start: str) -> DataFrame:
     """(keys, t0): the first frame of each key from which ``length`` rows are valid and ``ahead`` rows have no break."""
     w = Window.partitionBy(*keys).orderBy(t)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +161,51 @@ def noisy(df: DataFrame, columns: list[str], sigma: float, keys: list[str], seed
     """Columns with Gaussian noise drawn from a hash of the keys: the same for any partitioning."""
     u = lambda c, k: (F.pmod(F.xxhash64(*keys, F.lit(f"{c}{k}"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return df.withColumns({c: F.col(c) + sigma * F.sqrt(-2 * F.ln(u(c, 0))) * F.cos(6.283185307179586 * u(c, 1)) for c in columns})
+
+
+def hash_draw(keys: list[str], seed: int, salt: Column | str, part: int = 0) -> Column:
+    """A number in (0, 1) from the md5 of keys, seed and salt; ``part`` 0 or 1 takes other digits of the same hash."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)), salt if isinstance(salt, Column) else F.lit(salt))), 1 + 12 * part, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def normal_draw(keys: list[str], seed: int, salt: Column | str) -> Column:
+    """A standard normal number from a hash (Box-Muller): the same for any partitioning."""
+    return F.sqrt(-2 * F.ln(hash_draw(keys, seed, salt, 0))) * F.cos(6.283185307179586 * hash_draw(keys, seed, salt, 1))
+
+
+def correlated_noise(df: DataFrame, values: str, covariance: list[list[float]], keys: list[str], seed: int = 0) -> DataFrame:
+    """An array column with normal noise of the given covariance: its Cholesky factor times independent draws."""
+    factor = np.linalg.cholesky(np.asarray(covariance, float))
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in factor])
+    draws = F.array(*[normal_draw(keys, seed, str(j)) for j in range(len(factor))])
+    noise = F.transform(rows, lambda row: F.aggregate(F.zip_with(row, F.col("_z"), lambda a, z: a * z), F.lit(0.0), lambda s, v: s + v))
+    return df.withColumn("_z", draws).withColumn(values, F.zip_with(values, noise, lambda x, e: x + e)).drop("_z")
+
+
+def resampled_noise(df: DataFrame, values: str, errors: DataFrame, n_errors: int, keys: list[str], seed: int = 0, together: bool = True) -> DataFrame:
+    """An array column with errors drawn from a table (idx from 0, error array): one error vector to a row, or, not ``together``, each
+    place from a row of its own. Rows meet their errors by a hashed index in an equi-join."""
+    index = lambda salt: F.floor(hash_draw(keys, seed, salt) * n_errors).cast("long")
+    table = errors.select(F.col("idx").cast("long").alias("_idx"), F.col("error").alias("_e"))
+    if together:
+        met = df.withColumn("_idx", index("row")).join(table, "_idx", "left")
+        return met.withColumn(values, F.zip_with(values, "_e", lambda x, e: x + e)).select(*df.columns)
+    long = df.select(*keys, F.posexplode(values).alias("_place", "_x")).withColumn("_idx", index(F.col("_place").cast("string")))
+    each = long.join(table.select("_idx", F.posexplode("_e").alias("_place", "_e")), ["_idx", "_place"], "left")
+    sums = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", (F.col("_x") + F.col("_e")).alias("v")))), lambda p: p["v"]).alias("_new"))
+    return df.join(sums, keys).withColumn(values, F.col("_new")).select(*df.columns)
+
+
+def paired_histogram(df: DataFrame, label: str, prediction: str, edges: list[float] | None = None, bins: int = 50) -> DataFrame:
+    """(bin, lo, hi, labels, predictions): both columns over the same edges, by default even ones between the labels' extremes.
+
+    Values outside the edges are in no bin; one pass counts both.
+    """
+    if edges is None:
+        r = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
+        edges = [r.lo + (r.hi - r.lo) * i / bins for i in range(bins + 1)]
+    both = df.select(F.explode(F.array(F.struct(F.lit(True).alias("is_label"), F.col(label).alias("x")), F.struct(F.lit(False).alias("is_label"), F.col(prediction).alias("x")))).alias("v")).select("v.*")
+    counts = both.where(F.col("x").between(edges[0], edges[-1])).groupBy(bin_of("x", edges).alias("bin")).agg(F.count_if("is_label").alias("labels"), F.count_if(~F.col("is_label")).alias("predictions"))
+    grid = df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin int, lo double, hi double")
+    return grid.join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("labels", F.lit(0)).alias("labels"), F.coalesce("predictions", F.lit(0)).alias("predictions"))

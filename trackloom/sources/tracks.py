@@ -5,15 +5,12 @@ A track row is (agent, t, x, ...), a keypoint row (agent, t, id, kp array<struct
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trackloom.functions.geometry import not_nan
+from trackloom.sources import archives
 
 GAP_SECONDS = 12 * 3600
 N_POINTS = 19
@@ -53,33 +50,14 @@ def unpivot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").unpivot("doc_id", ["quality", "toxic"], "category", "value")
 
 
-_ARCHIVE = "videoidx int, t long, frame long, agent int, id int, kp array<struct<x: double, y: double>>, y map<string, int>"
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Tracking archives (.npz with X, videoidx, ids, frames, y, categories) as long rows, one task per file.
-
-    Ids are shifted to begin at 0, absent animals have no row, missing points are NULL.
-    """
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for raw in b["content"]:
-                a = np.load(io.BytesIO(bytes(raw)), allow_pickle=False)
-                ids, x = a["ids"].astype(int), a["X"]
-                known = ids >= 0
-                ids = np.where(known, ids - (ids[known].min() if known.any() else 0), -1)
-                video, frames = a["videoidx"].ravel(), a["frames"].ravel()
-                names = [str(c) for c in a["categories"]] if "categories" in a else []
-                for slot in range(ids.shape[1]):
-                    rows = np.flatnonzero(ids[:, slot] >= 0)
-                    for lo in range(0, len(rows), 4096):
-                        part = rows[lo : lo + 4096]
-                        kp = [[{"x": None if np.isnan(p[0]) else float(p[0]), "y": None if np.isnan(p[1]) else float(p[1])} for p in x[:, :, t, slot]] for t in part]
-                        y = [{n: int(a["y"][k, t, slot]) for k, n in enumerate(names) if a["y"][k, t, slot] == a["y"][k, t, slot]} for t in part]
-                        yield pd.DataFrame({"videoidx": video[part].astype(int), "t": part, "frame": frames[part].astype(int), "agent": slot, "id": ids[part, slot], "kp": kp, "y": y})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, _ARCHIVE)
+def read_archives(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Tracking archives (.npz) as long rows, one partition per archive; with ``columns``, only the members that they need are unpacked."""
+    spark.dataSource.register(archives.TrackArchives)
+    reader = spark.read.format("track_archives")
+    if columns:
+        kinds = {f.name: f for f in StructType.fromDDL(archives.SCHEMA).fields}
+        reader = reader.schema(StructType([kinds[c] for c in columns]))
+    return reader.load(path)
 
 
 def write_tracks(tracks: DataFrame, path: str) -> None:
