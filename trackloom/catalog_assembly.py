@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.catalog import KP, LENGTH, POSE_PARTS, POSES, d6, query, r6, wrap
 from trackloom.functions import geometry as g
-from trackloom.operators import agents, binning, motion, pose
-from trackloom.plans import assembly
+from trackloom.operators import agents, binning, evaluation, motion, pose, sequences, stats
+from trackloom.plans import assembly, loading
 from trackloom.sources import tracks
 
 BINS, OUTLIER, AHEAD = 5, 0.001, 4
@@ -141,3 +142,88 @@ def joint_quantile_edges(spark, d):
     rows = kp.select(F.array(*pose.at("wing_right"), *pose.at("wing_left")).alias("v"))
     edges = binning.joint_edges(rows, "v", 4, outlier=0.01)
     return spark.createDataFrame([(k, i, round(v, 6) + 0.0) for k, e in enumerate(edges) for i, v in enumerate(e)], "key int, edge int, value double")
+
+
+# ---- loading, noise, comparison of predictions
+
+
+def _videos(spark: SparkSession, d: str) -> DataFrame:
+    """Keypoints as an archive gives them: videos of 20 frames, categories by agent and frame."""
+    kp = tracks.embedding_keypoints(spark, d)
+    y = F.create_map(F.lit("female"), (F.col("agent") % 2).cast("int"), F.lit("resting"), (F.col("t") % 3 == 0).cast("int"))
+    return kp.withColumns({"videoidx": F.floor(F.col("t") / 20).cast("int"), "y": y, "isdata": F.col("t") % 40 < 25, "useoutputmask": F.lit(True)})
+
+
+@query(KP + """, v AS (SELECT agent, t, id, (t // 20)::INT AS videoidx, agent % 2 = 1 AND t % 40 < 25 AS isdata, t % 3 = 0 AS useoutputmask, tip_abdomen_x AS x FROM kp),
+k AS (SELECT * FROM v WHERE videoidx IN (SELECT videoidx FROM v WHERE isdata)), m AS (SELECT agent, t, id, videoidx, isdata, useoutputmask, x FROM k UNION ALL SELECT agent, t, id + (SELECT max(id) FROM k) + 1, videoidx + (SELECT max(videoidx) FROM k) + 1, isdata, useoutputmask, -x FROM k)
+SELECT agent, t, id::INT AS id, videoidx::INT AS videoidx, isdata, useoutputmask, """ + d6("x") + " AS tip_x FROM m WHERE id IN (SELECT id FROM m WHERE isdata)")
+def training_rows(spark, d):
+    """Filtered by category, condensed to videos with data, mirrored, and without individuals that cannot be measured."""
+    rows, _ = loading.training_rows(_videos(spark, d), ["female"], ["resting"], mirror=True)
+    # the abdomen's tip lies on the body's axis, so its mirror image is its own
+    return rows.select("agent", "t", "id", "videoidx", "isdata", "useoutputmask", r6(pose.at("tip_abdomen")[0]).alias("tip_x"))
+
+
+_COV = [[0.04, 0.01, 0.0], [0.01, 0.02, -0.005], [0.0, -0.005, 0.01]]
+_CHOL = np.linalg.cholesky(np.array(_COV)).tolist()
+
+
+def _u(salt: str, part: int, seed: int) -> str:
+    return f"((('0x' || substr(md5(agent::VARCHAR || ':' || t::VARCHAR || ':{seed}:' || {salt}), {1 + 12 * part}, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)"
+
+
+_NORMAL = [f"(sqrt(-2 * ln({_u(repr(str(j)), 0, 3)})) * cos(6.283185307179586::DOUBLE * {_u(repr(str(j)), 1, 3)}))" for j in range(3)]
+_PERTURBED = KP + ", z AS (SELECT agent, t, tip_abdomen_x AS a, tip_abdomen_y AS b, base_thorax_x AS c, " + ", ".join(f"{z} AS z{j}" for j, z in enumerate(_NORMAL)) + " FROM kp), n AS (SELECT agent, t, a, b, c, " + ", ".join(f"{x} + " + " + ".join(f"z{j} * {_CHOL[i][j]!r}::DOUBLE" for j in range(i + 1)) + f" AS p{i}" for i, x in enumerate("abc")) + " FROM z)"
+
+
+def _points3(spark: SparkSession, d: str) -> DataFrame:
+    kp = tracks.embedding_keypoints(spark, d)
+    return kp.select("agent", "t", F.array(*pose.at("tip_abdomen"), pose.at("base_thorax")[0]).alias("v"))
+
+
+@query(_PERTURBED + " SELECT agent, t, " + ", ".join(f"{d6(f'p{i}')} AS p{i}" for i in range(3)) + " FROM n")
+def correlated_noise(spark, d):
+    """Coordinates with noise of a given covariance."""
+    out = stats.correlated_noise(_points3(spark, d), "v", _COV, ["agent", "t"], 3)
+    return out.select("agent", "t", *[r6(F.get("v", F.lit(i))).alias(f"p{i}") for i in range(3)])
+
+
+@query(_PERTURBED + ", s AS (SELECT *, lead(a) OVER w - a AS da, lead(p0) OVER w - p0 AS dp, lead(b) OVER w - b AS db, lead(p1) OVER w - p1 AS dq FROM n WINDOW w AS (PARTITION BY agent ORDER BY t)) SELECT 'a' AS feature, " + d6("sqrt(avg((dp - da) ** 2))") + " AS scale FROM s UNION ALL SELECT 'b', " + d6("sqrt(avg((dq - db) ** 2))") + " FROM s")
+def noise_scale_correlated(spark, d):
+    """How far correlated noise of the points moves their one-step changes: root mean squares."""
+    def steps(rows: DataFrame) -> DataFrame:
+        out = rows.select("agent", "t", F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
+        for c, n in (("x", "a"), ("y", "b")):
+            out = motion.relative_velocity(out, c, ["agent"], "t").withColumnRenamed(f"{c}_d1", n)
+        return out
+
+    rows = _points3(spark, d)
+    out = stats.rms_difference(steps(rows), steps(stats.correlated_noise(rows, "v", _COV, ["agent", "t"], 3)), ["agent", "t"], ["a", "b"])
+    return out.select("feature", r6("scale").alias("scale"))
+
+
+_ERRORS = ", e AS (SELECT row_number() OVER (ORDER BY agent, t) - 1 AS idx, wing_left_x / 100 AS e0, wing_left_y / 100 AS e1, wing_right_x / 100 AS e2 FROM kp WHERE agent = 0)"
+
+
+@query(KP + _ERRORS + f", i AS (SELECT agent, t, tip_abdomen_x AS a, tip_abdomen_y AS b, base_thorax_x AS c, floor({_u(repr('row'), 0, 4)} * (SELECT count(*) FROM e))::BIGINT AS idx FROM kp) SELECT agent, t, {d6('a + e0')} AS p0, {d6('b + e1')} AS p1, {d6('c + e2')} AS p2 FROM i JOIN e USING (idx)")
+def resampled_noise(spark, d):
+    """Coordinates with errors drawn from a table, a whole error vector to a row."""
+    kp = tracks.embedding_keypoints(spark, d)
+    errors = kp.where("agent = 0").select("agent", "t", F.transform(F.array(*pose.at("wing_left"), pose.at("wing_right")[0]), lambda v: v / 100).alias("error"))
+    errors = sequences.running_offsets(errors, ["agent", "t"], name="idx")
+    out = stats.resampled_noise(_points3(spark, d), "v", errors, errors.count(), ["agent", "t"], 4)
+    return out.select("agent", "t", *[r6(F.get("v", F.lit(i))).alias(f"p{i}") for i in range(3)])
+
+
+@query(KP + ", m AS (SELECT min(tip_abdomen_x) AS lo, max(tip_abdomen_x) AS hi FROM kp), v AS (SELECT true AS is_label, tip_abdomen_x AS x FROM kp UNION ALL SELECT false, base_thorax_x FROM kp), b AS (SELECT is_label, least(floor((x - lo) / ((hi - lo) / 8)), 7)::INT AS bin FROM v, m WHERE x BETWEEN lo AND hi), g AS (SELECT unnest(range(0, 8))::INT AS bin) SELECT g.bin, count(*) FILTER (is_label) AS labels, count(*) FILTER (NOT is_label) AS predictions FROM g LEFT JOIN b USING (bin) GROUP BY g.bin")
+def paired_histogram(spark, d):
+    """Labels and predictions over the same bins."""
+    kp = tracks.embedding_keypoints(spark, d).select(pose.at("tip_abdomen")[0].alias("y"), pose.at("base_thorax")[0].alias("p"))
+    return stats.paired_histogram(kp, "y", "p", bins=8).select("bin", "labels", "predictions")
+
+
+@query(KP + ", s AS (SELECT agent, t // 7 AS part, t, tip_abdomen_x AS y, base_thorax_x AS p FROM kp), n AS (SELECT agent, part, count(*) AS n FROM s GROUP BY ALL), o AS (SELECT *, coalesce(sum(n + 2) OVER (ORDER BY agent, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n), r AS (SELECT (b + row_number() OVER (PARTITION BY agent, part ORDER BY t) - 1)::BIGINT AS axis, agent, part, y, p FROM s JOIN o USING (agent, part) UNION ALL SELECT unnest([b + n, b + n + 1])::BIGINT, agent, part, NULL, NULL FROM o) SELECT axis, agent, part, " + d6("y") + " AS y, " + d6("p") + " AS p FROM r")
+def one_axis(spark, d):
+    """Labels and predictions of many segments on one axis, with two empty rows after each."""
+    kp = tracks.embedding_keypoints(spark, d).select("agent", F.floor(F.col("t") / 7).alias("part"), "t", pose.at("tip_abdomen")[0].alias("y"), pose.at("base_thorax")[0].alias("p"))
+    return evaluation.one_axis(kp, ["agent", "part"], "t", ["y", "p"], gap=2).withColumns({"y": r6("y"), "p": r6("p")})

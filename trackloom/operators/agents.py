@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import PI, circle_line, clip, mod2pi, rotate
 from trackloom.operators.pose import KEYPOINTS, at
+from trackloom.operators.ranks import exact_percentiles
+from trackloom.sources.scratch import stored
 
 # The arena and the senses.
 ARENA_RADIUS = 26.689
@@ -118,8 +120,10 @@ def touch_factor(df: DataFrame, frame: list[str], agent: str = "agent", kp: str
     """factor: 1 / d**1.3 at the given percentile of each row's greatest least distance between own and touched points."""
     met = pairs(df.select(*frame, agent, F.col(kp).alias("own"), _points(TOUCHED, kp).alias("touched")), frame, ["touched"], agent)
     least = F.transform("own", lambda p: F.array_min(F.transform("other_touched", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))))
-    rows = met.select(F.array_max(least).alias("d"))
-    return rows.agg((1 / F.pow(F.percentile("d", share), F.lit(TOUCH_EXPONENT))).alias("factor"))
+    # the passes of the percentile read the distances, not the pairs again
+    rows = stored(met.select(F.lit(0).alias("key"), F.array_max(least).alias("x")), "distances")
+    found = exact_percentiles(rows, [share])
+    return df.sparkSession.createDataFrame([(found[0][0] ** -TOUCH_EXPONENT if found else None,)], "factor double")
 
 
 def wall_touch(df: DataFrame, kp: str = "kp") -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from trackloom.operators import augment, filters, pose
 
 
-def _categories(df: DataFrame, names: list[str], y: str) -> dict[str, Column]:
-    return {n.split("==")[0].strip(): F.get(F.map_values(F.map_filter(y, lambda k, _, c=n.split("==")[0].strip(): k == c)), F.lit(0)) for n in [*names, "female"]}
+def _categories(names: list[str], y: str) -> dict[str, Column]:
+    """The column of each category that predicates name; one that a row's map lacks is NULL and matches nothing."""
+    plain = {n.split("==")[0].strip() for n in names} - {"male"} | {"female"}
+    return {n: F.try_element_at(F.col(y), F.lit(n)) for n in plain}
 
 
 def training_rows(tracks: DataFrame, categories: list[str] = (), output_categories: list[str] = (), mirror: bool = False, video: str = "videoidx", id: str = "id", agent: str = "agent", kp: str = "kp", y: str = "y") -> tuple[DataFrame, DataFrame]:
@@ -21,9 +23,9 @@ def training_rows(tracks: DataFrame, categories: list[str] = (), output_categori
     """
     rows = tracks
     if categories:
-        rows = filters.with_category_mask(rows, "isdata", list(categories), _categories(rows, list(categories), y))
+        rows = filters.with_category_mask(rows, "isdata", list(categories), _categories(list(categories), y))
     if output_categories:
-        rows = filters.with_category_mask(rows, "useoutputmask", list(output_categories), _categories(rows, list(output_categories), y))
+        rows = filters.with_category_mask(rows, "useoutputmask", list(output_categories), _categories(list(output_categories), y))
     rows = filters.condense(rows, video, F.col("isdata"))
     # a slot that never has a point is none
     seen = rows.where(F.exists(kp, lambda p: p["x"].isNotNull())).select(video, agent).distinct()
