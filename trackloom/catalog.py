@@ -32,6 +32,16 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def draw(keys: list[str], seed: int, salt: str, part: int = 0) -> str:
+    """The number in (0, 1) that stats.hash_draw makes, in SQL."""
+    text = " || ':' || ".join([*[f"({k})::VARCHAR" for k in keys], f"'{seed}'", f"'{salt}'"])
+    return f"((('0x' || substr(md5({text}), {1 + 12 * part}, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)"
+
+
+def normal(keys: list[str], seed: int, salt: str) -> str:
+    return f"(sqrt(-2 * ln({draw(keys, seed, salt)})) * cos(6.283185307179586::DOUBLE * {draw(keys, seed, salt, 1)}))"
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
@@ -159,7 +169,7 @@ def complete_runs(spark, d):
     return sequences.complete_runs(_track(spark, d).withColumn("x", F.when(F.col("isdata"), F.col("x"))), "x", ["agent"], "t")
 
 
-@query()
+@query(SEQ + f", l AS (SELECT seq, count(*) AS n, {draw(['seq'], 3, 'order')} AS h FROM seq GROUP BY seq), o AS (SELECT seq, n, coalesce(sum(n) OVER (ORDER BY h, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM l) SELECT seq, n FROM o WHERE run < (SELECT count(*) // 2 FROM lineitem)")
 def subsample_sequences(spark, d):
     """Whole sequences in a seeded order until half of all rows are reached."""
     per = tracks.lineitem_sequences(spark, d).groupBy("seq").agg(F.count("*").alias("n"))
@@ -314,7 +324,7 @@ def zscore_stats(spark, d):
     return stats.moments(tracks.lineitem_sequences(spark, d), ["x", "quantity"]).select("feature", "n", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
-@query(SEQ + f", m AS (SELECT avg(x) AS a, stddev_pop(x) AS b FROM seq) SELECT seq, pos, {d6('(x - a) / nullif(b, 0)')} AS z FROM seq, m")
+@query(SEQ + f", m AS (SELECT seq, pos, x, avg(x) OVER () AS a, stddev_pop(x) OVER () AS b FROM seq) SELECT seq, pos, {d6('(x - a) / nullif(b, 0)')} AS z FROM m")
 def zscore_apply(spark, d):
     out = FeatureFrame(tracks.lineitem_sequences(spark, d)).then(ZScore(columns=["x"]))
     return out.df.select("seq", "pos", r6("x").alias("z"))
@@ -412,7 +422,7 @@ def circle_fit(spark, d):
     return stats.fit_circle(_planar(spark, d), "px", "py", _GRID, ["agent"]).select("agent", "cx", "cy", r6("radius").alias("radius"), r6("err").alias("err"))
 
 
-@query()
+@query(SEQ + f", l AS (SELECT seq, count(*) AS n FROM seq GROUP BY seq), o AS (SELECT seq, n, row_number() OVER (ORDER BY -ln({draw(['seq'], 1, 'held')}) / n, seq) AS nth FROM l) SELECT seq, n, nth <= 5 AS held_out FROM o")
 def weighted_holdout(spark, d):
     per = tracks.lineitem_sequences(spark, d).groupBy("seq").agg(F.count("*").alias("n"))
     return stats.weighted_holdout(per, "seq", "n", 5, 1)
@@ -433,13 +443,13 @@ def individual_summary(spark, d):
     return out.select("agent", "n", r6("share").alias("share"), r6(F.get("q", F.lit(0))).alias("mid"), r6(F.get("q", F.lit(1))).alias("high"), "kind")
 
 
-@query()
+@query(PLANAR + f", nz AS (SELECT agent, t, theta, px, py, px + 0.1::DOUBLE * {normal(['agent', 't'], 1, 'px')} AS qx, py + 0.1::DOUBLE * {normal(['agent', 't'], 1, 'py')} AS qy FROM planar), dn AS (SELECT theta, lead(px) OVER w - px AS dx, lead(py) OVER w - py AS dy, lead(qx) OVER w - qx AS ex, lead(qy) OVER w - qy AS ey FROM nz WINDOW w AS (PARTITION BY agent ORDER BY t)), df AS (SELECT (ey - dy) * cos(theta) - (ex - dx) * sin(theta) AS f, (ex - dx) * cos(theta) + (ey - dy) * sin(theta) AS s FROM dn) SELECT 'fwd_1' AS feature, {d6('sqrt(avg(f * f))')} AS scale FROM df UNION ALL SELECT 'side_1', {d6('sqrt(avg(s * s))')} FROM df")
 def noise_scale(spark, d):
     """Movement of perturbed positions against that of the given ones: root mean square differences."""
     rows = _planar(spark, d)
     a = motion.global_velocity(rows, "px", "py", "theta", ["agent"], "t")
     b = motion.global_velocity(stats.noisy(rows, ["px", "py"], 0.1, ["agent", "t"], 1), "px", "py", "theta", ["agent"], "t")
-    return stats.rms_difference(a, b, ["agent", "t"], ["fwd_1", "side_1"])
+    return stats.rms_difference(a, b, ["agent", "t"], ["fwd_1", "side_1"]).select("feature", r6("scale").alias("scale"))
 
 
 # ---- bins
@@ -877,7 +887,10 @@ def mask_last(spark, d):
     return out.groupBy("agent", "session").agg(r6(F.sum("x")).alias("total"), F.sum("mask_flag").alias("masked"))
 
 
-@query()
+_CHUNK = ["agent", "session", "chunk"]
+
+
+@query(RUNS + f", c AS (SELECT agent, session, (t - session) // {LENGTH} AS chunk, (t - session) % {LENGTH} AS pos FROM r), b AS (SELECT *, (floor({draw(_CHUNK, 1, 'n')} * 3) + 1)::INT AS n, {draw(_CHUNK, 1, 'at')} AS u, {draw([*_CHUNK, 'pos'], 2, '')} AS v FROM c), f AS (SELECT *, floor(u * ({LENGTH} - n + 1))::INT AS first, min(v) OVER (PARTITION BY agent, session, chunk) AS least FROM b) SELECT agent, session, chunk, count(*) FILTER (pos >= first AND pos < first + n) AS block, count(*) FILTER (v < 0.2 OR v = least) AS rows FROM f GROUP BY agent, session, chunk")
 def mask_random(spark, d):
     """Masked rows per chunk for block and row masks: at least one of each."""
     rows = _rows(spark, d).withColumns({"chunk": F.floor((F.col("t") - F.col("session")) / LENGTH), "pos": (F.col("t") - F.col("session")) % LENGTH})
@@ -886,11 +899,11 @@ def mask_random(spark, d):
     return augment.row_mask(block, keys, "pos", 0.2, 2).groupBy(*keys).agg(F.count_if("block").alias("block"), F.count_if("mask").alias("rows"))
 
 
-@query()
+@query(RUNS + f", cv AS (SELECT agent, t, x, lead(x) OVER (PARTITION BY agent, session ORDER BY t) - x AS x_d1, 0.5::DOUBLE * {normal(['agent', 't'], 7, '_zx')} AS z, {draw(['agent', 't'], 7, 'row')} < 0.3 AS hit FROM r) SELECT agent, t, {d6('CASE WHEN hit THEN x + z ELSE x END')} AS x, {d6('CASE WHEN hit THEN x_d1 - z ELSE x_d1 END')} AS x_d1 FROM cv")
 def compensated_noise(spark, d):
     """Noise on a value and its step: their sum, the next value, stays as it was."""
     v = motion.relative_velocity(_rows(spark, d), "x", ["agent", "session"], "t")
-    return augment.compensated_noise(v, ["x"], {"x": "x_d1"}, 0.5, 0.3, ["agent", "t"], 7).select("agent", "t", "x", "x_d1")
+    return augment.compensated_noise(v, ["x"], {"x": "x_d1"}, 0.5, 0.3, ["agent", "t"], 7).select("agent", "t", r6("x").alias("x"), r6("x_d1").alias("x_d1"))
 
 
 @query(SEQ + " SELECT seq, n FROM (SELECT seq, count(*) AS n FROM seq GROUP BY seq)")

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.pose import flip
-from trackloom.operators.stats import noisy
+from trackloom.operators.stats import hash_draw, noisy
 
 
 def uniform(keys: list[str], seed: int, salt: str = "") -> Column:
-    return (F.pmod(F.xxhash64(*keys, F.lit(salt), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return hash_draw(keys, seed, salt)
 
 
 def with_mirrored(df: DataFrame, ids: list[str], kp: str = "kp", centre: float = 0.0) -> DataFrame:

@@ -52,12 +52,30 @@ def global_velocity(df: DataFrame, x: str, y: str, theta: str, keys: list[str],
 def pose_velocity(df: DataFrame, pose: str, angles: list[bool], keys: list[str], t: str, name: str = "velocity") -> DataFrame:
     """The combined velocity of a pose array (x, y, heading, relative features): forward, sideways and turn in the frame of the heading
     at t, and the one-step change of every relative feature, wrapped where ``angles`` says so. NULL without a next frame."""
-    w = _w(keys, t)
-    p, q = (lambda i: F.get(F.col(pose), F.lit(i))), (lambda i: F.get(F.col("_q"), F.lit(i)))
+    out = df.withColumn("_q", ahead(pose, 1, _w(keys, t), t))
+    return out.withColumn(name, F.when(F.col("_q").isNotNull(), step_velocity(F.col(pose), F.col("_q"), angles))).drop("_q")
+
+
+def step_velocity(pose: Column, following: Column, angles: list[bool]) -> Column:
+    """The velocity array of a step from one pose array to another."""
+    p, q = (lambda i: F.get(pose, F.lit(i))), (lambda i: F.get(following, F.lit(i)))
     side, fwd = rotate(q(0) - p(0), q(1) - p(1), p(2))
     steps = [mod2pi(q(i) - p(i)) if wrapped else q(i) - p(i) for i, wrapped in enumerate(angles) if i > 2]
-    value = F.array(fwd, side, mod2pi(q(2) - p(2)), *steps)
-    return df.withColumn("_q", ahead(pose, 1, w, t)).withColumn(name, F.when(F.col("_q").isNotNull(), value)).drop("_q")
+    return F.array(fwd, side, mod2pi(q(2) - p(2)), *steps)
+
+
+def next_pose(pose: Column, velocity: Column, angles: list[bool]) -> Column:
+    """The pose array that a velocity array leads to."""
+    p, v = (lambda i: F.get(pose, F.lit(i))), (lambda i: F.get(velocity, F.lit(i)))
+    dx, dy = rotate(v(1), v(0), -p(2))
+    rest = [mod2pi(p(i) + v(i)) if wrapped else p(i) + v(i) for i, wrapped in enumerate(angles) if i > 2]
+    return F.array(p(0) + dx, p(1) + dy, mod2pi(p(2) + v(2)), *rest)
+
+
+def future_poses(df: DataFrame, pose: str, keys: list[str], t: str, taus: list[int], name: str = "future") -> DataFrame:
+    """<name>: the poses at several look-aheads, NULL where the track or its video (one of the keys) has ended by then."""
+    w = _w(keys, t)
+    return df.withColumn(name, F.array(*[ahead(pose, n, w, t) for n in taus]))
 
 
 def integrate_pose(df: DataFrame, velocity: str, start: str, angles: list[bool], keys: list[str], t: str, name: str = "pose") -> DataFrame:

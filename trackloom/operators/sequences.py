@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.stats import hash_draw
 from trackloom.sources.scratch import stored
 
 
@@ -142,7 +143,7 @@ def subsample_sequences(lengths: DataFrame, key: str, n: str, target: int, seed:
     The order is a hash of the key. The running sum is over one row per sequence, in hash buckets first, so that the window that
     sees all sequences has one row per bucket only.
     """
-    h = lengths.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_b", F.shiftright("_h", 52))
+    h = lengths.withColumn("_h", hash_draw([key], seed, "order")).withColumn("_b", F.floor(F.col("_h") * 4096))
     per = h.groupBy("_b").agg(F.sum(n).alias("_n"))
     before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import bin_of, mod2pi
+from trackloom.operators.ranks import exact_percentiles
 
 
 def moments(df: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
@@ -89,6 +90,20 @@ def class_weights(counts: DataFrame, category: str = "category", lo: float = 0.1
     return counts.withColumn("weight", F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))
 
 
+def balanced_rows(df: DataFrame, categories: list[str], lo: float = 0.1, hi: float = 100.0) -> DataFrame:
+    """The rows with weight: the mean of their values' weights over all categories; NULL values weigh nothing and count for nothing."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("string").alias("value")) for c in categories])).alias("s")).select("s.*")
+    weights = class_weights(long.where("value is not null").groupBy("category", "value").agg(F.count("*").alias("n")), "category", lo, hi)
+    out = df
+    for i, c in enumerate(categories):
+        # one row per class
+        part = weights.where(F.col("category") == c).select(F.col("value").alias(f"_v{i}"), F.col("weight").alias(f"_w{i}"))
+        out = out.join(part, out[c].cast("string") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+    known = [F.col(f"_w{i}") for i in range(len(categories))]
+    total, n = sum((F.coalesce(w, F.lit(0.0)) for w in known), F.lit(0.0)), sum((w.isNotNull().cast("int") for w in known), F.lit(0))
+    return out.withColumn("weight", F.try_divide(total, n)).drop(*[f"_w{i}" for i in range(len(categories))])
+
+
 def granularity(df: DataFrame, sequence: str, target: str, value: str, by: list[str] = ()) -> DataFrame:
     """Of a label: constant per sequence, per target within it, or changing by frame."""
     per_target = df.groupBy(*by, sequence, target).agg(F.min(value).alias("a"), F.max(value).alias("b"))
@@ -104,9 +119,11 @@ def label_report(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def distribution_fits(df: DataFrame, x: str, by: list[str] = ()) -> DataFrame:
     """Normal (mean, sd) and Laplace (median, mean absolute deviation from it), in two passes."""
-    first = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.percentile(x, 0.5).alias("median"))
-    joined = df.join(first, list(by)) if by else df.crossJoin(F.broadcast(first))
-    return joined.groupBy(*by, "mean", "sd", "median").agg(F.avg(F.abs(F.col(x) - F.col("median"))).alias("scale"))
+    rows = df.select(*by, F.to_json(F.struct(*by)).alias("key") if by else F.lit("").alias("key"), F.col(x).alias("x"))
+    medians = {k: v[0] for k, v in exact_percentiles(rows, [0.5]).items()}
+    # one row per group
+    table = df.sparkSession.createDataFrame(list(medians.items()), "key string, median double")
+    return rows.join(table, "key", "left").groupBy(*by, "median").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.avg(F.abs(F.col("x") - F.col("median"))).alias("scale"))
 
 
 def covariance(df: DataFrame, features: list[str]) -> DataFrame:
@@ -127,8 +144,7 @@ def fit_circle(df: DataFrame, x: str, y: str, centres: list[tuple[float, float]]
 
 def weighted_holdout(sequences: DataFrame, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
     """held_out: k sequences drawn without replacement with chances by weight (key -ln(u)/w, the k least), by a hash of the key."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = sequences.withColumn("_e", -F.ln(u) / F.col(weight))
+    drawn = sequences.withColumn("_e", -F.ln(hash_draw([key], seed, "held")) / F.col(weight))
     # k rows at most: the top of a bounded sort
     chosen = drawn.where(F.col(weight) > 0).orderBy("_e", key).limit(k).select(F.col(key).alias("_k"))
     return drawn.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left").withColumn("held_out", F.col("_k").isNotNull()).drop("_e", "_k")
@@ -159,8 +175,7 @@ def rms_difference(a: DataFrame, b: DataFrame, keys: list[str], features: list[s
 
 def noisy(df: DataFrame, columns: list[str], sigma: float, keys: list[str], seed: int = 0) -> DataFrame:
     """Columns with Gaussian noise drawn from a hash of the keys: the same for any partitioning."""
-    u = lambda c, k: (F.pmod(F.xxhash64(*keys, F.lit(f"{c}{k}"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return df.withColumns({c: F.col(c) + sigma * F.sqrt(-2 * F.ln(u(c, 0))) * F.cos(6.283185307179586 * u(c, 1)) for c in columns})
+    return df.withColumns({c: F.col(c) + sigma * normal_draw(keys, seed, c) for c in columns})
 
 
 def hash_draw(keys: list[str], seed: int, salt: Column | str, part: int = 0) -> Column:

@@ -52,3 +52,14 @@ def batches(examples: DataFrame, keys: list[str], size: int) -> DataFrame:
     """The examples with a batch number, by a hash of the keys: about ``size`` of them each."""
     n = max(1, -(-examples.count() // size))
     return examples.withColumn("batch", F.pmod(F.xxhash64(*keys), F.lit(n)))
+
+
+def collated(examples: DataFrame, keys: list[str], size: int, seed: int = 0) -> DataFrame:
+    """(batch, rows): batches of ``size`` whole examples in a hashed order, each one row with an array of structs; the last may be smaller.
+
+    Places in the order are running offsets, so no task sees all examples; a batch holds ``size`` of them at most.
+    """
+    placed = sequences.running_offsets(examples.withColumn("_h", F.xxhash64(*keys, F.lit(seed))), ["_h", *keys], name="_at")
+    one = F.struct("_at", F.struct(*examples.columns).alias("example"))
+    rows = placed.groupBy(F.floor(F.col("_at") / size).alias("batch")).agg(F.sort_array(F.collect_list(one)).alias("_rows"))
+    return rows.select("batch", F.transform("_rows", lambda r: r["example"]).alias("rows"))

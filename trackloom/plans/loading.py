@@ -15,7 +15,8 @@ def _categories(names: list[str], y: str) -> dict[str, Column]:
 
 
 def training_rows(tracks: DataFrame, categories: list[str] = (), output_categories: list[str] = (), mirror: bool = False, video: str = "videoidx", id: str = "id", agent: str = "agent", kp: str = "kp", y: str = "y") -> tuple[DataFrame, DataFrame]:
-    """(rows, sizes): valid tracks and each individual's sizes, all lazily planned.
+    """(rows, sizes): tracks and each individual's sizes, all lazily planned. ``track`` names an agent slot of a video: slots and frame
+    numbers of different archives and of mirrored copies are alike.
 
     isdata and useoutputmask are narrowed by category predicates on the map ``y``; videos and agent slots without any valid row go;
     mirrored copies get ids and video numbers of their own; sizes are medians over an individual's valid rows, and individuals with a
@@ -36,4 +37,5 @@ def training_rows(tracks: DataFrame, categories: list[str] = (), output_categori
     rows = filters.drop_incomplete(rows, sizes, id, list(pose.SCALES))
     known = sizes.where(" and ".join(f"{c} is not null" for c in pose.SCALES))
     # an individual without any valid row has no sizes at all
-    return rows.join(known.select(id), id, "left_semi"), known
+    rows = rows.join(known.select(id), id, "left_semi")
+    return rows.withColumn("track", F.concat_ws("/", video, agent)), known
