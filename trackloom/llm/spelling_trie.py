@@ -7,7 +7,7 @@ with one edit at the end of another word has found a neighbour.
 Edges without a fork are one: a label may be several letters, so there are as many levels as forks on a path. A word and its
 neighbour share at least the first or the last half of the shorter one. There are a trie of the words and one of the reversed
 words, and states start at the last fork within the first half of their word, where few words are left. A node knows which
-letters come next, as a set of bits, so a state that has its edit goes on only where its next letter may be.
+letters come next, one and three of them, as sets of bits, so a state that has its edit goes on only where its next letters may be.
 
 Words above ``LONG`` letters, where a row for each prefix would be wasteful, meet by hashes that leave out one of ``BLOCKS`` blocks of
 letters each. All neighbours found are compared as words once more, so hashes cannot make one up.
@@ -36,15 +36,20 @@ def _bit(letter: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(letter) % 64)
 
 
+def _bit3(text: Column, at: Column) -> Column:
+    """A bit for the next three letters, or the fewer that are left of a word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(_letters(text, at, F.lit(3))).bitwiseAND(F.lit(63)).cast("int"))
+
+
 def _letters(text: Column, at: Column, n: Column) -> Column:
     """n letters after the first ``at``."""
     return F.substring(text, at + 1, n)
 
 
 def _paths(words: DataFrame) -> DataFrame:
-    """One row per word and direction: way, t (the word, or reversed), n, size, forks: its prefixes (d, node, next, ends) at which the trie forks.
+    """One row per word and direction: way, t (the word, or reversed), n, size, forks: its prefixes (d, node, next, next3, ends) at which the trie forks.
 
-    next: the letters that follow, as bits; ends: whether a word ends there. Prefixes of TOP letters that several words have count as forks.
+    next: the letters that follow, as bits; next3: the same of the next three together, hashed; ends: whether a word ends there. Prefixes of TOP letters that several words have count as forks.
     """
     ways = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("word").alias("t")), F.struct(F.lit(1).alias("way"), F.reverse("word").alias("t"))))
     both = words.select(ways.alias("w"), "n", F.char_length("word").alias("size")).select("w.way", "w.t", "n", "size")
@@ -52,23 +57,23 @@ def _paths(words: DataFrame) -> DataFrame:
     letter = _letters(F.col("t"), F.col("d"), F.lit(1))
     rows = rows.withColumn("node", F.xxhash64("way", F.substring(F.col("t"), F.lit(1), F.col("d"))))
     code = F.ascii(letter)
-    nodes = rows.groupBy("node").agg(F.min(code).alias("lo"), F.max(code).alias("hi"), F.bit_or(F.when(code > 0, _bit(letter)).otherwise(F.lit(0).cast("long"))).alias("next"), F.min("d").alias("least"), F.count("*").alias("words"))
-    forks = nodes.where(f"lo <> hi or (least = {TOP} and words > 1)").select("node", "next", (F.col("lo") == 0).alias("ends"))
-    own = rows.join(forks, "node").groupBy("way", "t", "n", "size").agg(F.collect_list(F.struct("d", "node", "next", "ends")).alias("forks"))
+    nodes = rows.groupBy("node").agg(F.min(code).alias("lo"), F.max(code).alias("hi"), F.bit_or(F.when(code > 0, _bit(letter)).otherwise(F.lit(0).cast("long"))).alias("next"), F.bit_or(_bit3(F.col("t"), F.col("d"))).alias("next3"), F.min("d").alias("least"), F.count("*").alias("words"))
+    forks = nodes.where(f"lo <> hi or (least = {TOP} and words > 1)").select("node", "next", "next3", (F.col("lo") == 0).alias("ends"))
+    own = rows.join(forks, "node").groupBy("way", "t", "n", "size").agg(F.collect_list(F.struct("d", "node", "next", "next3", "ends")).alias("forks"))
     return own.withColumn("forks", F.array_sort("forks"))
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """(node, label, child, next, near, near_n) below each fork; near: the word that ends at the child, in its trie's direction, and its count."""
+    """(node, label, child, next, next3, near, near_n) below each fork; near: the word that ends at the child, in its trie's direction, and its count."""
     last = F.element_at("forks", -1)
-    leaf = F.struct(F.col("size").alias("d"), F.xxhash64("way", "t").alias("node"), F.lit(0).cast("long").alias("next"), F.lit(True).alias("ends"))
+    leaf = F.struct(F.col("size").alias("d"), F.xxhash64("way", "t").alias("node"), F.lit(0).cast("long").alias("next"), F.lit(0).cast("long").alias("next3"), F.lit(True).alias("ends"))
     stops = F.when(last["d"] < F.col("size"), F.concat("forks", F.array(leaf))).otherwise(F.col("forks"))
     step = paths.select("t", "n", "size", stops.alias("stops")).select("t", "n", "size", "stops", F.posexplode("stops").alias("k", "b")).where("k > 0")
     step = step.withColumn("a", F.element_at("stops", F.col("k")))
     label = _letters(F.col("t"), F.col("a.d"), F.col("b.d") - F.col("a.d"))
     near = F.when(F.col("b.ends"), F.substring(F.col("t"), F.lit(1), F.col("b.d")))
-    rows = step.select(F.col("a.node").alias("node"), label.alias("label"), F.col("b.node").alias("child"), F.col("b.next").alias("next"), near.alias("near"), F.when(F.col("b.d") == F.col("size"), F.col("n")).alias("near_n"))
-    return rows.groupBy("node", "label", "child", "next", "near").agg(F.max("near_n").alias("near_n"))
+    rows = step.select(F.col("a.node").alias("node"), label.alias("label"), F.col("b.node").alias("child"), F.col("b.next").alias("next"), F.col("b.next3").alias("next3"), near.alias("near"), F.when(F.col("b.d") == F.col("size"), F.col("n")).alias("near_n"))
+    return rows.groupBy("node", "label", "child", "next", "next3", "near").agg(F.max("near_n").alias("near_n"))
 
 
 def _level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,9 +88,9 @@ def _level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
         cost = F.when(F.col("edits") == 1, F.when(read == F.col("label"), 0) if more == 0 else F.lit(None).cast("int")).otherwise(F.levenshtein(F.col("label"), read, 1))
         return F.struct((F.col("pos") + n).alias("to"), F.when(within & (cost >= 0), cost + F.col("edits")).alias("cost"))
 
-    moved = met.select("way", "t", "size", "edits", F.col("child").alias("node"), "next", "near", "near_n", F.inline(F.array(after(0), after(1), after(-1))))
+    moved = met.select("way", "t", "size", "edits", F.col("child").alias("node"), "next", "next3", "near", "near_n", F.inline(F.array(after(0), after(1), after(-1))))
     hit = (F.col("cost") == 1) & (F.col("to") == F.col("size")) & F.col("near").isNotNull()
-    may = F.col("next").bitwiseAND(_bit(_letters(F.col("t"), F.col("to"), F.lit(1)))) != 0
+    may = (F.col("next").bitwiseAND(_bit(_letters(F.col("t"), F.col("to"), F.lit(1)))) != 0) & (F.col("next3").bitwiseAND(_bit3(F.col("t"), F.col("to"))) != 0)
     goes_on = F.when(F.col("cost") == 0, F.col("next") != 0).otherwise((F.col("to") < F.col("size")) & may)
     return moved.where(F.col("cost").isNotNull() & (F.col("cost") <= 1) & (hit | goes_on)).select("way", "t", "size", F.col("to").alias("pos"), "node", F.col("cost").alias("edits"), F.when(hit, F.col("near")).alias("near"), F.when(hit, F.col("near_n")).alias("near_n"))
 
