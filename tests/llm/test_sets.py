@@ -268,14 +268,13 @@ def test_line_rules_against_plain_code(spark):
     out = line_rules.quality_rules(docs_of(spark, rows), min_docs=10).collect()
     assert len(out) == len(rows)
     norm = lambda x: re.sub("[0-9]", "0", " ".join(x.lower().split()))
-    have, texts = defaultdict(set), defaultdict(set)
-    for _, t, s in rows:
+    have = defaultdict(set)
+    for i, t, s in rows:
         if t is not None:
-            texts[s].add(t)
             for line in t.split("\n"):
                 if line.split():
-                    have[s, norm(line)].add(t)
-    gone = {k for k, v in have.items() if len(v) >= 10 and len(v) >= line_rules.MIN_SHARE * len(texts[k[0]])}
+                    have[s, norm(line)].add((i, t))
+    gone = {k for k, v in have.items() if len(v) >= 10}
     assert any("all rights" in k[1] for k in gone)
     want = {}
     for i, t, s in rows:
@@ -296,3 +295,28 @@ def test_a_document_of_mostly_frequent_lines_is_depleted(spark):
     out = {r.doc_id: r for r in line_rules.quality_rules(docs_of(spark, rows)).collect()}
     assert all(r.words_removed == 60 and r.n_words >= line_rules.MIN_WORDS and not r.base_failed for r in out.values())
     assert [i for i in sorted(out) if out[i].kept] == list(range(25, 30))
+
+
+def test_copies_of_a_page_count_each_and_repeated_rows_do_not(spark):
+    page = " ".join(f"word{k}" for k in range(80)).translate(str.maketrans("0123456789", "abcdefghij"))
+    copies = [(i, page, "s") for i in range(20)]
+    assert not any(r.kept for r in line_rules.quality_rules(docs_of(spark, copies)).collect())
+    fewer = copies[:19] + [copies[0]] * 5 + [(99, page, "t")]  # 19 documents of the host, one of them six times
+    out = line_rules.quality_rules(docs_of(spark, fewer)).collect()
+    assert len(out) == 25 and all(r.kept and r.words_removed == 0 for r in out)
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    words = lambda x, n: " ".join(f"{x}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+    rows = [(i, words(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}", 60), "s") for i in range(600)]
+    rows += [(1000 + i, "the same footer for all of these pages here\n" + words(f"v{chr(97 + i)}", 60), "s") for i in range(20)]
+    out = line_rules.quality_rules(docs_of(spark, rows)).collect()
+    assert {r.doc_id for r in out if r.words_removed} == set(range(1000, 1020)) and all(r.kept for r in out)
+
+
+def test_stripped_texts_are_what_the_line_rule_leaves(spark):
+    rows = [(i, f"head line\n\nown text of page {chr(97 + i)}\nHEAD   line", "s") for i in range(20)] + [(50, "head line", "t"), (51, None, "s"), (51, None, "s"), (52, "head  line", "s")]
+    docs = docs_of(spark, rows)
+    frequent = line_rules.frequent_lines(docs)
+    left = {r.doc_id: r.text for r in line_rules.strip_frequent_lines(docs, frequent).collect()}
+    assert left[3] == "\nown text of page d" and left[50] == "head line" and left[51] == "" and left[52] == ""

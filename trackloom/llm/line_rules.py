@@ -1,11 +1,12 @@
 """Quality rules: statistics of each text, and the frequency of its lines across the documents of its host.
 
 Lines are normalised (A-Z lower-cased, white space squeezed, digits to 0) and hashed; for each host and line the distinct
-texts that have it are counted, exact copies once. Lines in at least ``min_docs`` texts and at least ``min_share`` of the
-host's texts are removed, and a document that keeps less than ``min_left`` of its words is rejected.
+documents that have it are counted, copies of a page each for itself. Lines in at least ``min_docs`` documents are removed, however
+large the host, and a document that keeps less than ``min_left`` of its words is rejected.
 
-Defined results: a null or empty text has no words and fails the base rule; a null host is a host of its own; repeated rows are
-judged alike and count once; an empty table gives an empty result; other columns are ignored, whatever their names.
+Defined results: a null or empty text has no words and fails the base rule; a null host is a host of its own; rows with equal key
+and text are one document, judged alike and counted once; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20
-MIN_SHARE = 0.02
-MIN_LEFT = 0.3
+MIN_LEFT = 0.75
 
 
 def text_statistics(text: Column) -> Column:
@@ -72,29 +72,37 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(squeezed, "[0-9]", "0"))
 
 
-def text_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """(host, text key, line, words): the distinct normalised lines of each distinct text, by hash, with all words they hold."""
-    raw = docs.select(F.col(host).alias("_host"), F.xxhash64(text).alias("_key"), F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
+def text_lines(docs: DataFrame, text: str, host: str, key: str) -> DataFrame:
+    """(_host, _line, _doc, _words): the normalised lines of each document, by hashes, with all words they hold in its rows."""
+    doc = F.xxhash64(F.col(key), F.xxhash64(text)).alias("_doc")
+    raw = docs.select(F.col(host).alias("_host"), doc, F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
     words = F.regexp_count("_line", F.lit(WORD)).cast("long")
-    # a document hashed to a key may have copies; of equal lines the copies are told apart by their count
-    return raw.select("_host", "_key", F.xxhash64(normal_line(F.col("_line"))).alias("_line"), words.alias("_words")).where("_words > 0")
+    rows = raw.select("_host", "_doc", F.xxhash64(normal_line(F.col("_line"))).alias("_line"), words.alias("_words")).where("_words > 0")
+    return rows.groupBy("_host", "_line", "_doc").agg(F.sum("_words").alias("_words"))
 
 
-def line_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, _line): hashes of the lines that at least ``min_docs`` documents of the host have."""
+    return _frequent(text_lines(docs, text, host, key), min_docs).select(F.col("_host").alias(host), "_line")
+
+
+def _frequent(lines: DataFrame, min_docs: int) -> DataFrame:
+    return lines.groupBy("_host", "_line").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs)
+
+
+def line_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per document: key, n_words, the other statistics, words_removed, depleted (the verdict of the line rule)."""
-    base = docs.select(F.col(key).alias("_id"), F.col(host).alias("_host"), F.xxhash64(text).alias("_key"), text_statistics(F.col(text)).alias("_s"))
-    distinct = docs.select(F.col(host).alias("_host"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    lines = text_lines(distinct, "_text", "_host").groupBy("_host", "_key", "_line").agg(F.max("_words").alias("_words"), F.count("*").alias("_n"))
-    # copies of a text multiply _n for all its lines alike; per text the number of copies is divided out below
-    per_line = lines.groupBy("_host", "_line").agg(F.count("*").alias("_docs"))
-    hosts = distinct.groupBy("_host", "_key").agg(F.count("*").alias("_copies"))
-    per_host = hosts.groupBy("_host").agg(F.count("*").alias("_host_docs"))
-    same_host = lambda a, b: F.col(f"{a}._host").eqNullSafe(F.col(f"{b}._host"))
-    frequent = per_line.where(F.col("_docs") >= min_docs).alias("p").join(per_host.alias("o"), same_host("p", "o")).where(F.col("_docs") >= min_share * F.col("_host_docs")).select("p._host", "p._line")
-    hits = lines.alias("l").join(frequent.alias("f"), same_host("l", "f") & (F.col("l._line") == F.col("f._line"))).select("l._host", "l._key", "_words", "_n")
-    removed = hits.groupBy("_host", "_key").agg(F.sum(F.col("_words") * F.col("_n")).alias("_removed"))
-    removed = removed.alias("r").join(hosts.alias("h"), same_host("r", "h") & (F.col("r._key") == F.col("h._key"))).select("r._host", "r._key", (F.col("_removed") / F.col("_copies")).cast("long").alias("_removed"))
-    joined = base.alias("b").join(removed.alias("r"), same_host("b", "r") & (F.col("b._key") == F.col("r._key")), "left")
+    doc = F.xxhash64(F.col(key), F.xxhash64(text)).alias("_doc")
+    base = docs.select(F.col(key).alias("_id"), F.col(host).alias("_host"), doc, text_statistics(F.col(text)).alias("_s"))
+    lines = text_lines(docs, text, host, key)
+    frequent = _frequent(lines, min_docs)
+    same = lambda a, b, c: F.col(f"{a}._host").eqNullSafe(F.col(f"{b}._host")) & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    hits = lines.alias("l").join(frequent.alias("f"), same("l", "f", "_line"), "left_semi")
+    # rows of one document, if it has several, have added up
+    rows = docs.select(F.col(host).alias("_host"), doc).groupBy("_host", "_doc").agg(F.count("*").alias("_rows"))
+    removed = hits.groupBy("_host", "_doc").agg(F.sum("_words").alias("_words"))
+    removed = removed.alias("r").join(rows.alias("n"), same("r", "n", "_doc")).select("r._host", "r._doc", (F.col("_words") / F.col("_rows")).cast("long").alias("_removed"))
+    joined = base.alias("b").join(removed.alias("r"), same("b", "r", "_doc"), "left")
     gone = F.coalesce("_removed", F.lit(0)).cast("long")
     return joined.select(F.col("_id").alias(key), *[F.col(f"_s.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], gone.alias("words_removed"), (F.col("_s.n_words") - gone < min_left * F.col("_s.n_words")).alias("depleted"))
 
@@ -111,10 +119,12 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
 
 
 def strip_frequent_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """(key, host, text) without the lines in ``frequent`` (host, line hash): the texts that remain after the line rule."""
+    """(key, host, text) without the lines in ``frequent`` (frequent_lines of the same host column): the texts that remain after the line rule."""
     lines = docs.select(F.col(key).alias("_id"), F.col(host).alias("_host"), F.xxhash64(text).alias("_key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_at", "_raw"))
     lines = lines.withColumn("_line", F.xxhash64(normal_line(F.col("_raw"))))
-    marked = lines.alias("l").join(frequent.alias("f"), F.col("l._host").eqNullSafe(F.col("f._host")) & (F.col("l._line") == F.col("f._line")), "left_anti")
-    rows = F.sort_array(F.collect_set(F.struct("_at", "_raw")))
+    known = frequent.select(F.col(host).alias("_host"), "_line", F.lit(True).alias("_gone"))
+    marked = lines.alias("l").join(known.alias("f"), F.col("l._host").eqNullSafe(F.col("f._host")) & (F.col("l._line") == F.col("f._line")), "left").select("_id", "l._host", "_key", "_at", "_raw", "_gone")
+    # a document of frequent lines alone keeps its row
+    rows = F.sort_array(F.collect_set(F.when(F.col("_gone").isNull(), F.struct("_at", "_raw"))))
     whole = marked.groupBy("_id", "_host", "_key").agg(F.array_join(F.transform(rows, lambda r: r["_raw"]), "\n").alias("_text"))
     return whole.select(F.col("_id").alias(key), F.col("_host").alias(host), F.col("_text").alias(text))

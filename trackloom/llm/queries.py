@@ -211,8 +211,7 @@ x AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM
 y AS (SELECT doc_id, source, text, x, len(regexp_extract_all(x, '[^{_WS}]+')) AS words FROM x),
 q AS (SELECT doc_id, (count(*) - count(DISTINCT x))::BIGINT AS n FROM y WHERE words > 0 GROUP BY doc_id),
 z AS (SELECT doc_id, source, text, {_LINE} AS line, words FROM y WHERE words > 0),
-h AS (SELECT source, count(DISTINCT text) AS n FROM documents WHERE text IS NOT NULL GROUP BY source),
-f AS (SELECT z.source, line FROM z JOIN h ON z.source IS NOT DISTINCT FROM h.source GROUP BY z.source, line HAVING count(DISTINCT text) >= {line_rules.MIN_DOCS} AND count(DISTINCT text) >= {line_rules.MIN_SHARE} * max(h.n)),
+f AS (SELECT source, line FROM z GROUP BY source, line HAVING count(DISTINCT doc_id) >= {line_rules.MIN_DOCS}),
 m AS (SELECT doc_id, sum(words)::BIGINT AS gone FROM z JOIN f ON z.line = f.line AND z.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
 o AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda a: length(a))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(q.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(m.gone, 0) AS gone
