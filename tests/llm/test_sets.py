@@ -320,3 +320,18 @@ def test_stripped_texts_are_what_the_line_rule_leaves(spark):
     frequent = line_rules.frequent_lines(docs)
     left = {r.doc_id: r.text for r in line_rules.strip_frequent_lines(docs, frequent).collect()}
     assert left[3] == "\nown text of page d" and left[50] == "head line" and left[51] == "" and left[52] == ""
+
+
+def test_a_vocabulary_table_of_many_overlapping_terms(spark):
+    rng = random.Random(9)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))): rng.choice([0.5, 1.0, 1.5]) for _ in range(4000)}
+    strict = set(rng.sample(sorted(terms), 200))
+    table = spark.createDataFrame([(t.upper() if len(t) % 2 else t, w, t in strict) for t, w in terms.items()] + [(None, 9.0, True), ("", 9.0, True)], "term string, weight double, strict boolean")
+    urls = ["http://h.org/" + "".join(rng.choice("abcABC-/.") for _ in range(rng.randrange(0, 40))) for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules=(), terms=table, soft_limit=3.0).collect()}
+    for i, u in enumerate(urls):
+        words = {w for w in re.split("[^0-9a-z]+", u.lower()) if w in terms}
+        want = sum(3.0 if w in strict else terms[w] for w in words) >= 3.0
+        assert got[i] == ("block" if want else "allow"), u
+    assert 20 < sum(v == "block" for v in got.values()) < 480
