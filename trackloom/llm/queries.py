@@ -115,10 +115,11 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = 7
-    runs = F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"[A-Za-z\u00C0-\u00FF]+"), F.lit(0))).alias("run")
+    # shorter runs make no word, with or without the letter that is deleted below
+    runs = F.explode(F.regexp_extract_all("text", F.lit(rf"[A-Za-z\u00C0-\u00FF]{{{least},}}"), F.lit(0))).alias("run")
     found = _read(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), runs)
+    found = found.withColumn("run", F.when(F.col("run").rlike("[A-Z]"), lower_ascii(F.col("run"))).otherwise(F.col("run")))
     size = F.char_length("run")
-    found = found.where(size >= least)
     # a letter of every 31st run is deleted, by a hash
     h = F.crc32(F.concat("id", F.lit(":"), "run"))
     at = (h % size).cast("int")
