@@ -48,15 +48,23 @@ _TAIL = ",.;:!?)"
 _STATE: dict = {}
 
 
+#: Words that show whether a tokenizer treats lower-case Latin words as its model alone does.
+_PROBE = ["a", "the", "don", "tt", "\u00e9t\u00e9", "\u00fcber", "stra\u00dfe", "\u00ff", "\u00b5", "zzzzqx", "abcdefghijklmnopqrstuvwxyz"]
+
+
 def _start(tokenizer_path: str) -> None:
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(tokenizer_path)
+    tokenizer, plain = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
     vocabulary = tokenizer.get_vocab()
     closes = np.zeros(max(vocabulary.values()) + 1, bool)
     closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    _STATE.update(path=tokenizer_path, tokenizer=tokenizer, closes=closes, ids={}, old={})
+    # lower-case Latin letters need no normalisation and no pattern: only the parting at spaces and the byte letters are left
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+    same = all(tokenizer.encode(w, add_special_tokens=False).ids == plain.encode(w, add_special_tokens=False).ids for w in [*_PROBE, " ".join(_PROBE)])
+    _STATE.update(path=tokenizer_path, tokenizer=tokenizer, plain=plain if same else tokenizer, closes=closes, ids={}, old={})
 
 
 def _encode_each(words: list[str]) -> None:
@@ -66,10 +74,10 @@ def _encode_each(words: list[str]) -> None:
             _STATE["ids"][w] = np.array(e.ids, "<u4").tobytes()
 
 
-def _encode_letters(words: list[str]) -> None:
+def _encode_letters(words: list[str], tokenizer: str) -> None:
     """Words of letters alone are one token run each, so many go in one call and are cut apart where a run closes."""
     groups = [words[at : at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
-    for part, e in zip(groups, _STATE["tokenizer"].encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+    for part, e in zip(groups, _STATE[tokenizer].encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
         ids = np.array(e.ids, "<u4")
         ends = np.flatnonzero(_STATE["closes"][ids]) + 1
         if len(ends) != len(part):  # a letter that is none for the tokenizer
@@ -83,18 +91,23 @@ def _encode_letters(words: list[str]) -> None:
 
 def _learn(words: set[str]) -> None:
     """Ids of new words. Case and closing marks make most of the forms of a word: it is encoded once, its marks once."""
-    ids, letters, other, made = _STATE["ids"], set(), [], []
+    ids, latin, letters, other, made = _STATE["ids"], set(), set(), [], []
     for w in words:
         core = w.rstrip(_TAIL)
         if core.isalpha():
-            low = core.lower() if core.isascii() else core
-            letters.add(low)
+            if core.isascii() or max(core) <= "\u00ff":
+                low = core.lower()
+                latin.add(low)
+            else:
+                low = core
+                letters.add(low)
             if low != w:
                 made.append((w, low, w[len(core) :]))
         else:
             other.append(w)
     other += [tail for tail in {m[2] for m in made} if tail not in ids]
-    _encode_letters([w for w in letters if w not in ids])
+    _encode_letters([w for w in latin if w not in ids], "plain")
+    _encode_letters([w for w in letters if w not in ids], "tokenizer")
     _encode_each(other)
     empty = b""
     for w, low, tail in made:
