@@ -243,6 +243,23 @@ def test_wall_heights(spark):
     assert agents.wall_touch(kp).first().wall == pytest.approx([3.5, 0, 0, 3.5])
 
 
+def test_percentiles_of_a_whole_table_pass_through_no_single_task(spark):
+    xs = [float((i * 7919) % 1009) - 300 for i in range(2000)]
+    rows = series(spark, [(0, i, x) for i, x in enumerate([*xs, None])])
+    probs = [0.0, 0.25, 0.5, 1.0]
+    q = stats.percentiles(rows, "x", probs)
+    assert "percentile" not in q._jdf.queryExecution().executedPlan().toString().lower()
+    assert q.first().q == pytest.approx(list(np.quantile(xs, probs)))
+    assert stats.percentiles(rows.where("x is null"), "x", probs).first().q is None
+    tails = stats.tail_percentiles(rows, "x", [0.5]).first()
+    assert (tails.up, tails.down) == ([np.median([x for x in xs if x >= 0])], [np.median([x for x in xs if x <= 0])])
+    angles = rows.withColumn("x", F.col("x") / 1000)
+    whole, one = stats.circular(angles, "x", [0.1, 0.9]).first(), stats.circular(angles, "x", [0.1, 0.9], ["agent"]).first()
+    assert whole.q == pytest.approx(one.q) and (whole.n, whole.mean, whole.sd) == (one.n, pytest.approx(one["mean"]), pytest.approx(one.sd))
+    moved = stats.rms_difference(rows, rows.withColumn("x", F.col("x") * 2), ["agent", "t"], ["x"], 0.5).first()
+    assert moved.scale == np.median(np.abs(xs))
+
+
 def test_category_predicates(spark):
     rows = spark.createDataFrame([(1, 0), (0, 1), (None, 1)], "female int, courtship int")
     value = {c: F.col(c) for c in ("female", "courtship")}

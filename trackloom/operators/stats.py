@@ -38,15 +38,25 @@ def merge_moments(parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, x: str, probs: list[float], by: list[str] = (), approximate: bool = False) -> DataFrame:
-    """q: the percentiles with linear interpolation; approximate for groups whose distinct values are too many to hold."""
+    """q: the percentiles with linear interpolation; approximate for groups whose distinct values are too many to hold.
+
+    Those of a whole table come by ranks, so no task holds its values; NULL and NaN do not count.
+    """
+    if not by and not approximate:
+        found = exact_percentiles(df.select(F.lit(0).alias("key"), F.col(x).alias("x")), probs)
+        return df.sparkSession.createDataFrame([(found.get(0),)], "q array<double>")
     q = F.percentile_approx(x, probs, 100_000) if approximate else F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
     return df.groupBy(*by).agg(q.alias("q"))
 
 
 def tail_percentiles(df: DataFrame, x: str, probs: list[float], by: list[str] = ()) -> DataFrame:
     """Percentiles of the values from 0 up and, mirrored, of those from 0 down."""
-    a = F.array(*[F.lit(float(p)) for p in probs])
     up, down = F.when(F.col(x) >= 0, F.col(x)), F.when(F.col(x) <= 0, -F.col(x))
+    if not by:
+        sides = F.explode(F.array(F.struct(F.lit("up").alias("key"), up.alias("x")), F.struct(F.lit("down").alias("key"), down.alias("x"))))
+        found = exact_percentiles(df.select(sides.alias("s")).select("s.*"), probs)
+        return df.sparkSession.createDataFrame([(found.get("up"), [-v for v in found["down"]] if "down" in found else None)], "up array<double>, down array<double>")
+    a = F.array(*[F.lit(float(p)) for p in probs])
     return df.groupBy(*by).agg(F.percentile(up, a).alias("up"), F.transform(F.percentile(down, a), lambda v: -v).alias("down"))
 
 
@@ -74,6 +84,8 @@ def circular(df: DataFrame, angle: str, probs: list[float], by: list[str] = ())
     stats = first.select(*by, "n", F.atan2("_s", "_c").alias("mean"), F.sqrt(-2 * F.ln(F.hypot("_s", "_c"))).alias("sd"))
     joined = df.join(F.broadcast(stats) if not by else stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
     rest = joined.withColumn("_r", mod2pi(F.col(angle) - F.col("mean")))
+    if not by:
+        return stats.crossJoin(F.broadcast(percentiles(rest, "_r", probs))).select("n", "mean", "sd", "q")
     return rest.groupBy(*by, "n", "mean", "sd").agg(F.transform(F.percentile("_r", F.array(*[F.lit(float(p)) for p in probs])), lambda v: v).alias("q"))
 
 
@@ -168,8 +180,11 @@ def individual_summary(df: DataFrame, id: str, flag: Column, x: str, probs: list
 def rms_difference(a: DataFrame, b: DataFrame, keys: list[str], features: list[str], prob: float | None = None) -> DataFrame:
     """(feature, scale): root mean square (or a percentile of the size) of how features differ between two tables."""
     d = a.select(*keys, *features).join(b.select(*keys, *[F.col(f).alias(f"_{f}") for f in features]), keys)
-    how = (lambda c: F.sqrt(F.avg(c * c))) if prob is None else (lambda c: F.percentile(F.abs(c), prob))
-    one = d.agg(*[how(F.col(f"_{f}") - F.col(f)).alias(f) for f in features])
+    if prob is not None:
+        sizes = d.select(F.explode(F.array(*[F.struct(F.lit(f).alias("key"), F.abs(F.col(f"_{f}") - F.col(f)).alias("x")) for f in features])).alias("s")).select("s.*")
+        found = exact_percentiles(sizes, [prob])
+        return d.sparkSession.createDataFrame([(f, found[f][0] if f in found else None) for f in features], "feature string, scale double")
+    one = d.agg(*[F.sqrt(F.avg((F.col(f"_{f}") - F.col(f)) * (F.col(f"_{f}") - F.col(f)))).alias(f) for f in features])
     return one.unpivot([], features, "feature", "scale")
 
 
