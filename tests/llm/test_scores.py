@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -20,6 +21,17 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, held_out string, score double")
 
 
+def test_toxicity_scores_many_texts_in_little_memory():
+    model = toxicity.ToxicityModel(0.5, np.linspace(-1, 1, 1 << toxicity.BUCKET_BITS, dtype=np.float32))
+    texts = [f"words of text {i} " * 160 for i in range(600)]
+    tracemalloc.start()
+    found = model.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert found[::97].tolist() == [model.score([t])[0] for t in texts[::97]]
+
+
 def test_words_match_a_plain_split():
     texts = ["", "  a\tb\n", "éa  x\x0by", "\x1cq z"]
     c = Chars(texts)

@@ -25,6 +25,8 @@ from .common import class_counts, labelled_sample
 
 WINDOW_WORDS = 4
 BUCKET_BITS = 18
+#: Characters scored at once: each takes some 200 bytes of arrays on the way.
+SCORED_CHARS = 1 << 17
 NGRAMS = (3, 4, 5)
 
 
@@ -73,7 +75,7 @@ class ToxicityModel:
         if self.gram is None:
             return np.full(len(texts), self.prior)
         out = np.empty(len(texts))
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, SCORED_CHARS):
             c = Chars(texts[lo:hi])
             window, per_doc = _windows(c)
             margin = np.zeros(int(per_doc.sum()))
