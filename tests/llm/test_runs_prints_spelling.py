@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trackloom.llm import queries, run_detection, simhash_tiles, spelling_trie
+from trackloom.llm import common, queries, run_detection, simhash_tiles, spelling_trie
 
 SCHEMA = "doc_id long, text string, source string, size long, starts string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -321,3 +322,18 @@ def test_op13_query(spark, sf):
     got = queries.QUERIES["op13_spelling"](spark, sf).collect()
     assert {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in got} == want and len(got) == len(want)
     assert sum(1 for v in want.values() if v[2]) > 3
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    """What op13_spelling and others write between their steps stays whole; the shuffles behind it do not pile up on the disks."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_(\d+)_", disk.getAllBlocks().mkString(" ")))
+    before = shuffles()
+    made = common.materialize(spark.range(50_000).groupBy((F.col("id") % 997).alias("k")).agg(F.max("id").alias("m")), "made")
+    for _ in range(40):
+        if not shuffles() - before:
+            break
+        time.sleep(0.25)
+    assert not shuffles() - before
+    assert made.count() == 997 and made.agg(F.max("m")).first()[0] == 49_999
+    assert spark.conf.get(common._CLEAN_UP, None) is None

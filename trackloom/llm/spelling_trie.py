@@ -119,6 +119,8 @@ def near_words(words: DataFrame) -> DataFrame:
     levels = []
     while True:
         levels.append(materialize(_level(frontier, edges), "level"))
+        if len(levels) == 1:
+            discard(paths)  # the states have left it
         frontier = levels[-1].where("near is null").drop("near", "near_n")
         if frontier.isEmpty():
             break
@@ -127,7 +129,7 @@ def near_words(words: DataFrame) -> DataFrame:
     for level in levels:
         found = found.unionByName(level.where("near is not null").select(forth("t").alias("word"), forth("near").alias("near"), "near_n"))
     out = materialize(found.distinct().where(F.levenshtein(F.col("word"), F.col("near"), 1) == 1), "near")
-    for spent in (paths, edges, *levels):
+    for spent in (edges, *levels):
         discard(spent)
     return out
 
