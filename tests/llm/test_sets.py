@@ -212,6 +212,33 @@ def test_packing_over_many_ranges(spark):
     assert len(bins) <= 1.005 * best_fit_decreasing(lengths, 512) + 1
 
 
+def test_packing_ranges_follow_rows(spark, monkeypatch):
+    """As many ranges as the rows need: with few rows a band takes one round, whatever the session's partitions; and many small ranges."""
+    rng = random.Random(4)
+    lengths = [min(512, max(1, int(rng.lognormvariate(3.5, 1)))) for _ in range(3000)]
+    steps, write = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: steps.append(name) or write(df, name))
+    pieces = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        for rows in (packing.RANGE_ROWS, 300):
+            monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+            steps.clear()
+            out = packing.pack(pieces, max_tokens=512).collect()
+            assert steps.count("swept") <= (packing.LAST_BAND + 1 if rows > 300 else 100)
+            assert sorted((r.doc_id, r.length) for r in out) == sorted(enumerate(lengths))
+            bins = defaultdict(list)
+            for r in out:
+                bins[r.sequence_id].append((r.offset, r.length))
+            for parts in bins.values():
+                assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 512
+            assert len(bins) <= (1 if rows > 300 else 1.03) * best_fit_decreasing(lengths, 512) + 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_packing_fills_without_gaps(spark):
     rng = random.Random(5)
     rows = [(i + 100, " ".join(f"word{rng.randrange(50)}" for _ in range(rng.randrange(0, 700))), "s") for i in range(120)] + odd_rows()

@@ -11,8 +11,9 @@ rounds are repeated until all its pieces are placed:
    swept in the same way.
 4. The gaps are updated, and pieces that found none go into the next round.
 
-All tables have one row for each piece of the band or each open sequence, and no text. What reaches the driver is one row for
-each range and round. New sequences are opened only for tokens that no gap above could hold, or after ``FULL_ROUNDS`` rounds.
+All tables have one row for each piece of the band or each open sequence, and no text. There are as many ranges as the rows need
+at ``RANGE_ROWS`` to a range, whatever the session's number of partitions: more ranges part pieces from the gaps that hold them and
+cost rounds. What reaches the driver is one row for each range and round. New sequences are opened only for tokens that no gap above could hold, or after ``FULL_ROUNDS`` rounds.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each for itself; an empty table gives
 an empty result; other columns are ignored, whatever their names.
@@ -20,6 +21,7 @@ an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import zlib
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remembered, tended
 
 MAX_TOKENS = 4096
 END_ID = 1
@@ -43,9 +45,11 @@ FULL_ROUNDS = 3
 LAST_BAND = 6
 #: Pieces that are swept together into new sequences.
 SHARE_PIECES = 250_000
+#: Pieces and gaps of a range. So few rows are read by one task as they lie; more are range-sorted.
+RANGE_ROWS = 1 << 16
 #: Marks at a word's end that are tokens of their own, whatever they follow.
 _TAIL = ",.;:!?)"
-_STATE: dict = {}
+_STATE = remembered("packing")
 
 
 #: Words that show whether a tokenizer treats lower-case Latin words as its model alone does.
@@ -145,16 +149,24 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, raw in zip(b["k"], _encode(b["t"].fillna("").tolist(), tokenizer_path)):
-                raw += end
-                for n, at in enumerate(range(0, len(raw), 4 * max_tokens)):
-                    part = raw[at : at + 4 * max_tokens]
-                    row = (k, n, at // 4, len(part) // 4, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if keep_ids else row)
+        for b in tended(batches, "packing"):
+            rows, collects = [], gc.isenabled()
+            gc.disable()  # nothing here makes cycles; the collector would walk the lists of words again and again
+            try:
+                for k, raw in zip(b["k"], _encode(b["t"].fillna("").tolist(), tokenizer_path)):
+                    raw += end
+                    for n, at in enumerate(range(0, len(raw), 4 * max_tokens)):
+                        part = raw[at : at + 4 * max_tokens]
+                        row = (k, n, at // 4, len(part) // 4, zlib.crc32(part))
+                        rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if keep_ids else row)
+            finally:
+                if collects:
+                    gc.enable()
             out = pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
-            yield out.astype({key: b["k"].dtype}) if len(out) else out
+            out = out.astype({key: b["k"].dtype}) if len(out) else out
+            del b, rows
+            yield out
+            del out
 
     # a null key would turn a batch of whole numbers into floats, so it travels as text
     out = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(pieces, schema.replace(f"`{key}` {kind}", f"`{key}` string", 1))
@@ -169,13 +181,14 @@ def _sweep(rows: DataFrame, capacity: int) -> DataFrame:
     """Best fit within each home of each partition of ``rows`` (home, kind, id, size, sequence_id).
 
     Rows must lie by home, then size downwards, gaps before pieces. Gives the placed pieces with sequence_id and offset, the pieces
-    that no gap of their home holds, and the gaps as they are then; part is the partition's number.
+    that no gap of their home holds (offset: the tokens of such pieces before it in its home), and the gaps as they are then; part is
+    the partition's number.
     """
 
     def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, home = TaskContext.get().partitionId(), None
+        part, home, missed = TaskContext.get().partitionId(), None, 0
         open_: list[tuple[int, int]] = []  # gaps not smaller than where the sweep is: (size, sequence), the smallest last
         later: list[tuple[int, int]] = []  # smaller ones that pieces have left: a heap of (-size, sequence)
 
@@ -189,7 +202,7 @@ def _sweep(rows: DataFrame, capacity: int) -> DataFrame:
             for h, kind, id_, size, seq in zip(*(b[c].tolist() for c in ("home", "kind", "id", "size", "sequence_id"))):
                 if h != home:
                     out += close()
-                    home = h
+                    home, missed = h, 0
                 while later and -later[0][0] >= size:
                     rest, other = heapq.heappop(later)
                     open_.append((-rest, other))
@@ -204,7 +217,8 @@ def _sweep(rows: DataFrame, capacity: int) -> DataFrame:
                     else:
                         heapq.heappush(later, (-rest, seq))
                 else:
-                    out.append((home, part, PIECE, id_, size, -1, -1))
+                    out.append((home, part, PIECE, id_, size, -1, missed))
+                    missed += size
             yield pd.DataFrame(out, columns=_COLUMNS)
         yield pd.DataFrame(close(), columns=_COLUMNS)
 
@@ -244,44 +258,49 @@ def _shares(ranges: list, first_new: int, everything_new: bool, capacity: int) -
     return shares, new, first_new
 
 
-def _place_band(todo: DataFrame, gaps: DataFrame | None, first_new: int, capacity: int) -> tuple[list[DataFrame], DataFrame, int]:
-    """Rounds until every piece of ``todo`` (id, size) is placed: the placed ones, the gaps then, the next sequence's number."""
+def _place_band(todo: DataFrame, n_todo: int, gaps: DataFrame | None, n_gaps: int, first_new: int, capacity: int) -> tuple[list[DataFrame], DataFrame, int, int]:
+    """Rounds until every piece of ``todo`` (id, size) is placed: the placed ones, the gaps then and their number, the next sequence's number."""
     spark, placed, round_ = todo.sparkSession, [], 0
     row = lambda df, kind: df.select(F.lit(0).cast("long").alias("home"), F.lit(kind).alias("kind"), *(["id", "size", F.lit(-1).cast("long").alias("sequence_id")] if kind == PIECE else [F.lit(-1).cast("long").alias("id"), "size", "sequence_id"]))
     while True:
         both = row(todo, PIECE) if gaps is None else row(todo, PIECE).unionByName(row(gaps, GAP))
         # equal sizes are dealt to several ranges where they are many
         order = [F.col("size").desc(), F.col("kind").desc(), F.xxhash64("id", "sequence_id")]
-        swept = materialize(_sweep(both.repartitionByRange(*order).sortWithinPartitions(*order), capacity), "swept")
+        n = -(-(n_todo + n_gaps) // RANGE_ROWS)
+        sorted_ = (both.repartitionByRange(n, *order) if n > 1 else both.coalesce(1)).sortWithinPartitions(*order)
+        swept = materialize(_sweep(sorted_, capacity), "swept")
         placed.append(swept.where(F.col("kind") == PLACED))
         is_piece, size = F.col("kind") == PIECE, F.col("size")
-        left = F.when(is_piece, size)
-        found = swept.where(F.col("kind") != PLACED).groupBy("part").agg(F.count(left).alias("pieces"), F.sum(left).alias("tokens"), F.max(left).alias("longest"), F.min(left).alias("shortest"), F.coalesce(F.sum(F.when(~is_piece, size)), F.lit(0)).alias("volume"))
+        left, open_ = F.when(is_piece, size), F.when(~is_piece, size)
+        found = swept.where(F.col("kind") != PLACED).groupBy("part").agg(F.count(left).alias("pieces"), F.sum(left).alias("tokens"), F.max(left).alias("longest"), F.min(left).alias("shortest"), F.coalesce(F.sum(open_), F.lit(0)).alias("volume"), F.count(open_).alias("gaps"))
         ranges = sorted(found.collect(), key=lambda r: r["part"])
         round_ += 1
         free = swept.where(F.col("kind") == GAP)
         if not any(r["pieces"] for r in ranges):
-            return placed, free.select("size", "sequence_id"), first_new
+            return placed, free.select("size", "sequence_id"), sum(r["gaps"] for r in ranges), first_new
         shares, new, first_new = _shares(ranges, first_new, round_ > FULL_ROUNDS, capacity)
         # a few rows for each range
         share = F.broadcast(spark.createDataFrame(shares, "of long, lo long, hi long, to long"))
-        before = F.sum("size").over(Window.partitionBy("part").orderBy(size.desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
-        dealt = swept.where(is_piece).withColumn("_at", before).join(share, (F.col("part") == F.col("of")) & (F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi")))
+        dealt = swept.where(is_piece).join(share, (F.col("part") == F.col("of")) & (F.col("offset") >= F.col("lo")) & (F.col("offset") < F.col("hi")))
         rows = dealt.select(F.col("to").alias("home"), "kind", "id", "size", "sequence_id")
         homes = sorted({s[3] for s in shares if s[3] >= 0})
         used = free.where(F.col("part").isin(homes)) if homes else free.limit(0)
         rows = rows.unionByName(used.select(F.col("part").alias("home"), "kind", "id", "size", "sequence_id"))
+        n_rows = sum(r["pieces"] + r["gaps"] * (r["part"] in homes) for r in ranges) + sum(n for _, _, n in new)
         if new:
             opened = spark.createDataFrame(new, "home long, first long, n long").select("home", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("sequence_id"))
             rows = rows.unionByName(opened.select("home", F.lit(GAP).alias("kind"), F.lit(-1).cast("long").alias("id"), F.lit(capacity).cast("long").alias("size"), "sequence_id"))
-        carried = materialize(_sweep(rows.repartition("home").sortWithinPartitions("home", F.col("size").desc(), F.col("kind").desc(), "id", "sequence_id"), capacity), "carried")
+        by_home = rows.repartition(len(homes) + len(new), "home") if n_rows > RANGE_ROWS else rows.coalesce(1)
+        carried = materialize(_sweep(by_home.sortWithinPartitions("home", F.col("size").desc(), F.col("kind").desc(), "id", "sequence_id"), capacity), "carried")
         placed.append(carried.where(F.col("kind") == PLACED))
         gaps = carried.where(F.col("kind") == GAP).select("size", "sequence_id")
         untouched = free.where(~F.col("part").isin(homes)) if homes else free
         gaps = gaps.unionByName(untouched.select("size", "sequence_id"))
         todo = carried.where(is_piece).select("id", "size")
-        if not todo.limit(1).count():
-            return placed, gaps, first_new
+        over = carried.agg(F.count_if(is_piece).alias("pieces"), F.count_if(F.col("kind") == GAP).alias("gaps")).first()
+        n_todo, n_gaps = over["pieces"], over["gaps"] + sum(r["gaps"] for r in ranges if r["part"] not in homes)
+        if not n_todo:
+            return placed, gaps, n_gaps, first_new
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -292,10 +311,10 @@ def pack(pieces: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -
     sizes = pieces.select(F.col("_id").alias("id"), F.col("length").cast("long").alias("size"))
     # band k holds lengths up to max_tokens / 2**k, the last one all shorter ones
     band = F.least(F.floor(F.log2(max_tokens / F.col("size"))), F.lit(LAST_BAND)).cast("int")
-    bands = sorted(r["b"] for r in sizes.select(band.alias("b")).distinct().collect())
-    placed, gaps, first_new = [], None, 0
-    for b in bands:
-        now, gaps, first_new = _place_band(sizes.where(band == b), gaps, first_new, max_tokens)
+    bands = sorted((r["b"], r["n"]) for r in sizes.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect())
+    placed, gaps, n_gaps, first_new = [], None, 0, 0
+    for b, n in bands:
+        now, gaps, n_gaps, first_new = _place_band(sizes.where(band == b), n, gaps, n_gaps, first_new, max_tokens)
         placed += now
     if not placed:
         return pieces.drop("_id").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
