@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from trackloom.llm import jaccard_join, packing, pii_crf
+from trackloom.llm import common, jaccard_join, packing, pii_crf
 from trackloom.llm.queries import WORD_TOKENIZER
 
 
@@ -36,3 +36,12 @@ def test_empty_tables(spark, sf):
         assert out.count() == 0
         if name != "packing":
             docs = out
+
+
+def test_a_worker_remembers_one_operator():
+    """Stages share Python workers: what packing remembers of words and its tokenizers goes with the first batch of another operator."""
+    list(packing._encode(["some words again"], WORD_TOKENIZER))
+    assert list(common.tended(iter([1, 2, 3]), "packing")) == [1, 2, 3] and packing._STATE["ids"]
+    assert list(common.tended(iter([4, 5]), "pii_crf")) == [4, 5] and not packing._STATE
+    again = list(packing._encode(["some words again", ""], WORD_TOKENIZER))
+    assert again == list(packing._encode(["some words again", ""], WORD_TOKENIZER)) and again[0] and not again[1]

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chars import Chars, fold_ascii, mix, slices
-from .common import discard, materialize
+from .common import discard, materialize, tended
 
 #: Characters of a chunk (one text at least), and bytes of text to a hash range.
 CHUNK_CHARS, RANGE_BYTES = 1 << 22, 1 << 23
@@ -133,7 +133,7 @@ def _prefixes(docs: DataFrame, n_ranges: int, words: int, percent: int) -> DataF
         from pyspark import TaskContext
 
         task, nth = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in tended(batches, "jaccard_join"):
             keys, every = b["k"].tolist(), b["t"].fillna("").tolist()
             for lo, hi in slices(every, CHUNK_CHARS):
                 texts, name, nth = every[lo:hi], f"{task}.{nth}", nth + 1
@@ -203,7 +203,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("long")
     def common(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xs, ys in batches:
+        for xs, ys in tended(batches, "jaccard_join"):
             yield pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(xs, ys)], dtype="int64")
 
     met = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), common("ga", "gb").alias("both"))

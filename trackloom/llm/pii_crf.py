@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chars import Chars, slices
+from .common import tended
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = 0
@@ -461,7 +462,7 @@ def pii_spans(text: Column, model: CrfModel) -> Column:
 
     @F.pandas_udf("struct<base string, spans string, n_email long, n_ip long, n_card long, n_phone long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in tended(batches, "pii_crf"):
             rows = []
             for base, every in find_spans(s.fillna("").tolist(), model):
                 n = [0, 0, 0, 0]
@@ -490,8 +491,11 @@ def redact_documents(docs: DataFrame, model: CrfModel, text: str = "text") -> Da
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+        for s in tended(batches, "pii_crf"):
             texts = s.fillna("").tolist()
-            yield pd.Series([redact(t, every) if every else t for t, (_, every) in zip(texts, find_spans(texts, model))], dtype=object)
+            out = pd.Series([redact(t, every) if every else t for t, (_, every) in zip(texts, find_spans(texts, model))], dtype=object)
+            del s, texts
+            yield out
+            del out
 
     return docs.withColumn(text, F.when(F.col(text).isNotNull(), clean(F.col(text))))

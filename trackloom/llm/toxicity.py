@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import Chars, fold, mix, slices
-from .common import class_counts, labelled_sample
+from .common import class_counts, labelled_sample, tended
 
 WINDOW_WORDS = 4
 BUCKET_BITS = 18
@@ -192,7 +192,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(model.score(s.fillna("").tolist()))
+        for s in tended(batches, "toxicity"):
+            out = pd.Series(model.score(s.fillna("").tolist()))
+            del s
+            yield out
 
     return docs.withColumn("toxic_score", scored(F.col(text)))
