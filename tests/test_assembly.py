@@ -52,6 +52,19 @@ def test_exact_percentiles(spark, monkeypatch, cells, hold):
         assert np.allclose(found[k], np.quantile(vs, probs), rtol=1e-12, atol=0)
 
 
+def test_percentiles_stay_between_their_two_values(spark):
+    rng = random.Random(5)
+    data = {}
+    for k in range(40):
+        a = rng.uniform(-3, 3)
+        data[k] = [a] * rng.randrange(2, 60) + [math.nextafter(a, 9.0)] * rng.randrange(2, 60) * (k % 2)
+    long = [(k, v) for k, vs in data.items() for v in vs]
+    probs = [i / 10 for i in range(11)]
+    for k, found in ranks.exact_percentiles(spark.createDataFrame(long, "key long, x double"), probs).items():
+        at = [p * (len(data[k]) - 1) for p in probs]
+        assert all(data[k][math.floor(x)] <= q <= data[k][math.ceil(x)] for q, x in zip(found, at))
+
+
 def test_exact_percentiles_of_nothing(spark):
     assert ranks.exact_percentiles(spark.createDataFrame([("a", None)], "key string, x double"), [0.5]) == {}
 

@@ -315,6 +315,23 @@ def test_training_data_parameters_are_reused(spark):
     assert dataset.map_chunks(chunks, lambda b: b[["agent"]].assign(n=b["rows"].map(len)), "agent long, n long").agg(F.min("n")).first()[0] == 8
 
 
+def test_labels_are_binned_as_they_are(spark):
+    rows = series(spark, [(a, t, (t * t * (a + 3) % 101) / 100) for a in range(3) for t in range(60)]).withColumn("isstart", F.col("t") == 0)
+    chunks, frame = dataset.build_dataset(rows, "x", F.col("x").isNotNull(), 6, 5)
+    labels = sorted(r.raw_label for r in frame.df.collect())
+    edges = frame.find("discretize").params["edges"]
+    assert edges[0] == labels[0] and edges[-1] == labels[-1] and edges == pytest.approx(list(np.quantile(labels, [i / 5 for i in range(6)])))
+    found = chunks.select(F.inline("rows")).collect()
+    assert found and [r.label_bin for r in found] == [min(max(sum(e <= r.raw_label for e in edges) - 1, 0), 4) for r in found]
+    assert sorted({round(r.label, 12) for r in frame.invert_to().df.collect()}) == pytest.approx(frame.find("discretize").params["means"])
+
+
+def test_a_constant_label_has_one_bin(spark):
+    rows = series(spark, [(0, t, 4.0) for t in range(12)]).withColumn("isstart", F.col("t") == 0)
+    chunks, _ = dataset.build_dataset(rows, "x", F.col("x").isNotNull(), 5)
+    assert [(r.x, r.input, r.label_bin, r.raw_label) for r in chunks.select(F.inline("rows")).collect()] == [(None, None, 0, 0.0)] * 10
+
+
 def test_blocks_and_areas(spark):
     a = spark.createDataFrame([(1, 2.0)], "k int, x double")
     joined = projections.blocks_together(["k"], {"in": a, "out": a.withColumn("x", F.lit(3.0))})

@@ -44,5 +44,16 @@ def test_query(spark, sf, duck, name):
         assert rows
 
 
+def test_training_chunks_of_copied_events(spark, duck, tmp_path):
+    """Users with the same event many times over: most steps are 0, so quantiles lie between equal labels."""
+    duck.execute(f"COPY (SELECT event_id + k * 1000000 AS event_id, ts, user_id, event_type, value, props FROM events, range(5) r(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    rows = [tuple(plain(v) for v in r) for r in entry.queries()["training_chunks"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(entry.oracle_sql()["training_chunks"]).fetchall()
+    assert sorted(rows) == sorted(tuple(plain(v) for v in r) for r in want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -83,6 +83,8 @@ def exact_percentiles(values: DataFrame, probs: list[float]) -> dict[object, lis
 
     def between(k: object, x: float) -> float:
         lo, hi = math.floor(x), math.ceil(x)
-        return found[k, lo] if lo == hi else (hi - x) * found[k, lo] + (x - lo) * found[k, hi]
+        a, b = found[k, lo], found[k, hi]
+        # never beyond the two values by rounding: above equal ones, an edge would cut off all their copies
+        return a if a == b else min(max((hi - x) * a + (x - lo) * b, a), b)
 
     return {k: [between(k, x) for x in xs] for k, xs in at.items()}

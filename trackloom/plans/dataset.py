@@ -13,7 +13,7 @@ from trackloom.plans.stages import Discretize, FeatureFrame, ZScore
 
 
 def build_dataset(tracks: DataFrame, feature: str, valid: Column, length: int, bins: int = 10, fitted: FeatureFrame | None = None, agent: str = "agent", t: str = "t") -> tuple[DataFrame, FeatureFrame]:
-    """(chunks, frame): sessions, steps, the last step as input, z-scores, binned labels, and chunks of ``length`` rows.
+    """(chunks, frame): sessions, steps, the last step as input, binned labels, z-scored inputs, and chunks of ``length`` rows.
 
     ``fitted``: the frame of the training data, whose parameters are used instead of learning new ones.
     """
@@ -21,7 +21,8 @@ def build_dataset(tracks: DataFrame, feature: str, valid: Column, length: int, b
     steps = motion.relative_velocity(rows, feature, [agent, "session"], t, [1]).withColumnRenamed(f"{feature}_d1", "label")
     steps = motion.aligned_inputs(steps, "label", [agent, "session"], t, "input").where(F.col("label").isNotNull())
     steps = steps.withColumn("raw_label", F.col("label"))
-    frame = fitted.apply_to(steps) if fitted else FeatureFrame(steps).then(ZScore(columns=[feature, "input", "label"])).then(Discretize(column="label", bins=bins))
+    # bins are those of the labels as they are: z-scores keep the order, but by the fit's last bits some neighbours become equal
+    frame = fitted.apply_to(steps) if fitted else FeatureFrame(steps).then(Discretize(column="label", bins=bins)).then(ZScore(columns=[feature, "input"]))
     # chunks count from the first row that has all columns
     again = frame.df.withColumn("session", F.col("session") + 1)
     return sequences.chunk_examples(again, [feature, "input", "label_bin", "raw_label"], length, agent=agent, t=t), frame

@@ -138,6 +138,8 @@ class Discretize(Stage):
         if "edges" in self.params:
             return self
         edges = binning.quantile_edges(df, self.params["column"], self.params["bins"], self.params.get("outlier", 0.0))
+        if edges and edges[0] == edges[-1]:
+            edges = edges[:2]  # one value alone has one bin
         rows = binning.bin_statistics(df, self.params["column"], edges).collect()  # one row per bin
         return Discretize(self.name, **self.params, edges=edges, means=[r["mean"] for r in sorted(rows, key=lambda r: r.bin)])
 
